@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailmesh.llm.lineage import checkpointed
 from trailmesh.llm.native_text import with_gram_hashes, words_of
 
 BROADCAST_WINDOWS = 2_000_000
@@ -133,15 +134,6 @@ def find_contamination(
     return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_c", "copies")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by spark.checkpoint.dir."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where or "/tmp/checkpoints")
-    return df.checkpoint()
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remove: str = "documents", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without contamination (``remove='documents'``), or with hit words cut out (``'spans'``).
 

@@ -1,9 +1,10 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from trailmesh.llm import decontaminate
+from trailmesh.llm import decontaminate, exact_dedup
 
 QUERIES = {
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.OP8_SQL}
