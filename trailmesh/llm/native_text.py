@@ -57,16 +57,3 @@ def _shifted(left: str, right: str, words: str, n_left: int, n_right: int) -> Co
         F.slice(F.col(left), F.lit(1), n), F.slice(F.col(right), F.lit(n_left + 1), n), lambda a, b: F.xxhash64(a, b)
     )
 
-
-def gram_arrays(lengths: list[int], prefix: str = "_g") -> Column:
-    """The (length, pos, hash) entries of all windows, as one array."""
-    return F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    f"{prefix}{n}", lambda h, i, n=n: F.struct(F.lit(n).alias("len"), i.alias("pos"), h.alias("hash"))
-                )
-                for n in sorted(set(lengths))
-            ]
-        )
-    )

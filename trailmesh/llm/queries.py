@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from trailmesh.llm import decontaminate, exact_dedup
+from trailmesh.llm import decontaminate, exact_dedup, pii, secrets
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
+    "op4_pii": pii.op4_pii,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
