@@ -1,12 +1,14 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from trailmesh.llm import decontaminate, exact_dedup, pii, secrets
+from trailmesh.llm import bpe, decontaminate, exact_dedup, licenses, pii, secrets
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op4_pii": pii.op4_pii,
+    "op5_license_scan": licenses.op5_license_scan,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.OP8_SQL}
