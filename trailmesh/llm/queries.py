@@ -1,12 +1,14 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from trailmesh.llm import bpe, decontaminate, exact_dedup, licenses, pii, secrets
+from trailmesh.llm import bpe, decontaminate, exact_dedup, licenses, pii, quality, secrets, toxicity
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_bpe": bpe.op9_bpe,
 }
