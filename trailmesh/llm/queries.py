@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators and their oracle SQL."""
 
-from trailmesh.llm import bpe, decontaminate, exact_dedup, licenses, pii, quality, secrets, toxicity
+from trailmesh.llm import bpe, decontaminate, exact_dedup, licenses, lm_score, pii, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
