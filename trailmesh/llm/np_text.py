@@ -99,3 +99,13 @@ def words_per_text(starts: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most ``most`` bytes of text each, or a single row."""
+    sizes = np.diff(buffer_of(batch.column(column))[1])
+    a = 0
+    while a < len(batch):
+        b = a + max(1, int(np.searchsorted(np.cumsum(sizes[a:]), most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
