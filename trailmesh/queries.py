@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trailmesh.plans import portable
+
 GAP_S = 86_400
 MIN_ROWS = 2
 
@@ -49,9 +51,17 @@ s AS (SELECT cam_id, local_track_id, seq::BIGINT seq, min(ts) start_ts, max(ts)
       FROM g GROUP BY ALL HAVING count(*) >= {MIN_ROWS})
 """
 
+def _portable(text: str):
+    return lambda spark, sf_dir: portable.run(spark, sf_dir, text)
+
+
 QUERIES = {"tracklet_sessionize": sessions, "cross_camera_tracks": cross_camera_tracks}
 ORACLE_SQL = {
     "tracklet_sessionize": f"WITH {SESSIONS_SQL} SELECT * FROM s",
     "cross_camera_tracks": f"WITH {SESSIONS_SQL} SELECT local_track_id global_id, min(start_ts) created, max(end_ts) last_seen, "
     "count(*) n_tracklets, count(DISTINCT cam_id) n_cameras FROM s GROUP BY 1 HAVING count(DISTINCT cam_id) >= 2",
 }
+
+for _name, _text in portable.QUERIES.items():
+    QUERIES[_name] = _portable(_text)
+    ORACLE_SQL[_name] = portable.duck_sql(_text)
