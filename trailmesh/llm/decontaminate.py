@@ -140,15 +140,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
     Cutting spans returns the remaining normalised words joined by one blank for
     documents with hits and leaves all others as they are.
     """
-    found = find_contamination(docs, benchmark, window, doc_id, text).filter("n_hit > 0").select(F.col("doc_id").alias("_hit_id"), F.col("_key").alias("_hit_key"), "spans").distinct()
-    own = docs.withColumn("_own_key", F.xxhash64(F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("_hit_id")) & (F.col("_own_key") == F.col("_hit_key"))
+    found = find_contamination(docs, benchmark, window, doc_id, text).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("__tm_id"), F.col("_key").alias("__tm_key"), F.col("spans").alias("__tm_spans")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("__tm_id")) & (F.xxhash64(F.col(text)) == F.col("__tm_key"))
     if remove == "documents":
-        return own.join(found, same, "left_anti").drop("_own_key")
-    joined = own.join(found, same, "left").withColumn("_ws", words_of(F.col(text)))
-    covered = lambda i: F.exists("spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
-    cut = F.concat_ws(" ", F.filter("_ws", lambda w, i: ~covered(i)))
-    return joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
+        return docs.join(found, same, "left_anti")
+    joined = docs.join(found, same, "left").withColumn("__tm_words", words_of(F.col(text)))
+    covered = lambda i: F.exists("__tm_spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
+    cut = F.concat_ws(" ", F.filter("__tm_words", lambda w, i: ~covered(i)))
+    return joined.withColumn(text, F.when(F.col("__tm_spans").isNull(), F.col(text)).otherwise(cut)).select(*docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -156,10 +156,10 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fp_
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns."""
-    rows = dedup_exact(docs, doc_id, text).groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    rows = rows.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
-    gone, repeated = rows.filter("NOT _kept"), rows.filter("_kept AND _rows > 1")
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_key"))
+    rows = dedup_exact(docs, doc_id, text).groupBy(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key"))
+    rows = rows.agg(F.max("kept").alias("__tm_kept"), F.count("*").alias("__tm_rows"))
+    gone, repeated = rows.filter("NOT __tm_kept"), rows.filter("__tm_kept AND __tm_rows > 1")
+    same = F.col(doc_id).eqNullSafe(F.col("__tm_id")) & (F.xxhash64(F.col(text)) == F.col("__tm_key"))
     once = docs.join(gone.unionByName(repeated), same, "left_anti")
     again = docs.join(repeated, same, "left_semi").dropDuplicates([doc_id, text])
     return once.unionByName(again)
