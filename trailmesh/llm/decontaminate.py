@@ -162,3 +162,20 @@ def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP6_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+starts AS (SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM starts),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM w CROSS JOIN sizes),
+hits AS (SELECT doc_id, i, p.n, item FROM (SELECT doc_id, i, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') AS g FROM places) p JOIN windows USING (n, g)),
+cover AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) c GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hits GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN cover USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

@@ -15,4 +15,4 @@ QUERIES = {
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.OP6_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
