@@ -70,7 +70,7 @@ def training_rows(docs: DataFrame, graded: DataFrame, max_rows: int) -> list:
     picked = picked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in T.parts(whole, 1)):
             rows = features(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())], ["grade", "index", "value"]
@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = CumulativeLink(*shared.value)
         cut = sum(lv < at_least for lv in own.levels) - 1
-        for batch in batches:
+        for batch in (part for whole in batches for part in T.parts(whole, 1)):
             expected, tail, best = [], [], []
             for index, value in features(batch.column(1)):
                 t = own.tails(index, value)
@@ -149,8 +149,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
 
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows whose probability of a grade of at least 1 reaches the threshold, with all their columns."""
-    bad = score_quality(docs, labels, doc_id, text).filter(F.col("p_at_least") < threshold).select(F.col("doc_id").alias("_bad"), F.col("_key").alias("_bad_key")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_bad")) & (F.xxhash64(F.col(text)) == F.col("_bad_key"))
+    bad = score_quality(docs, labels, doc_id, text).filter(F.col("p_at_least") < threshold).select(F.col("doc_id").alias("__tm_bad"), F.col("_key").alias("__tm_bad_key")).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("__tm_bad")) & (F.xxhash64(F.col(text)) == F.col("__tm_bad_key"))
     return docs.join(bad, same, "left_anti")
 
 
