@@ -64,8 +64,11 @@ def grades_of(labels: DataFrame) -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
 
 
-def training_rows(docs: DataFrame, graded: DataFrame, max_rows: int) -> list:
-    """(features, grade) of the labelled documents with the smallest id hashes, max_rows at most."""
+def training_rows(docs: DataFrame, graded: DataFrame, max_rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(index, value, grade) of the labelled documents with the smallest id hashes, max_rows at most.
+
+    The arrays are views of one Arrow table, so the driver holds each feature once.
+    """
     picked = graded.filter("_grade IS NOT NULL AND _lid IS NOT NULL").groupBy("_lid").agg(F.max("_grade").alias("_grade"))
     picked = picked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
 
@@ -77,7 +80,14 @@ def training_rows(docs: DataFrame, graded: DataFrame, max_rows: int) -> list:
             )
 
     text = docs.join(F.broadcast(picked), docs["_id"].cast("string") == picked["_lid"].cast("string")).select(F.col("_grade").cast("int"), "_text")
-    return text.mapInArrow(run, "grade int, index binary, value binary").collect()
+    table = text.mapInArrow(run, "grade int, index binary, value binary").toArrow()
+
+    def views(name: str, kind: str) -> list[np.ndarray]:
+        held = (x.as_buffer() for x in table.column(name))
+        return [np.frombuffer(b, kind) if b.size else np.zeros(0, kind) for b in held]
+
+    rows = zip(views("index", "<u2"), views("value", "<f4"), table.column("grade").to_pylist(), strict=True)
+    return sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
 
 
 class CumulativeLink:
@@ -110,6 +120,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate:
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             index, value, g = rows[i]
+            value = value.astype(float)
             z = w[index] @ value - theta
             s = sign[g]
             d = weight[g] * -s / (1 + np.exp(np.clip(s * z, -40, 40)))  # d loss / d z
@@ -125,7 +136,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """One row per input row: doc_id, _key, expected_grade, p_at_least (tail probability), predicted grade."""
     graded = labels.select(F.col(label_id).alias("_lid"), (grades_of(labels) if grade is None else grade).cast("int").alias("_grade"))
     rows = training_rows(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), graded, max_rows)
-    rows = sorted(((np.frombuffer(r["index"], "<u2").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(float), r["grade"]) for r in rows), key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
     model = fit(rows)
     shared = docs.sparkSession.sparkContext.broadcast((model.levels, model.weights, model.thetas))
     kind = docs.schema[doc_id].dataType.simpleString()
