@@ -284,3 +284,16 @@ def test_pipeline_stages(spark, docs, items, tmp_path):
     # 1 and 5 are equal, 7 is near 2, 8 and 9 are both empty, 12 and 13 hold benchmark items.
     assert left & {12, 13} == set() and len(left & {1, 5}) == 1 and len(left & {2, 7}) == 1 and len(left & {8, 9}) == 1
     assert {0, 3, 4, 14, 15, 16, 17, 18} <= left
+
+
+def test_joined_classes_equal_components_of_all_links(spark):
+    from trailmesh.llm.jaccard_join import components, joined_classes
+
+    rng = np.random.default_rng(5)
+    first, more = ([(int(a), int(b)) for a, b in rng.integers(0, 60, (n, 2)) if a != b] for n in (20, 25))
+    kind = "a bigint, b bigint"
+    one, two, none = (spark.createDataFrame(x, kind) for x in (first, more, []))
+    want = sorted(map(tuple, components(one.union(two)).collect()))
+    assert sorted(map(tuple, joined_classes(components(one), two).collect())) == want
+    assert sorted(map(tuple, joined_classes(components(none), two.union(one)).collect())) == want
+    assert sorted(map(tuple, joined_classes(components(one), none).collect())) == sorted(map(tuple, components(one).collect()))
