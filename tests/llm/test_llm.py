@@ -297,3 +297,24 @@ def test_joined_classes_equal_components_of_all_links(spark):
     assert sorted(map(tuple, joined_classes(components(one), two).collect())) == want
     assert sorted(map(tuple, joined_classes(components(none), two.union(one)).collect())) == want
     assert sorted(map(tuple, joined_classes(components(one), none).collect())) == sorted(map(tuple, components(one).collect()))
+
+
+def test_jaccard_link_counts(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):
+        own = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 4)):
+            own[k] = f"x{rng.random()}"
+        rows.append((i, " ".join(own)))
+    rows += [(300 + i, rows[3 * i][1]) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = list(jaccard_join.shingle_sets(pa.array([r[1] for r in rows])))
+    want = [sum(jaccard_join.jaccard(a, b) >= 0.8 for b in sets) - 1 for a in sets]
+    assert max(want) > 50
+    for block, shingles in ((256, 250_000), (256, 5_000)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", shingles)
+        got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_classes(df).collect()}
+        assert [got[i] for i in range(len(rows))] == want

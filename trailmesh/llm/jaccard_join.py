@@ -9,8 +9,8 @@ others are verified exactly on their shingle sets.
 No bucket is expanded into all pairs. First every node of a bucket meets two pivots of
 it (its smallest and its largest node); what links is one class. Only then the buckets
 that still hold several classes are compared across classes, in blocks of bounded
-size. Within a class no further pair is needed: the result is the class of each row,
-so no link between different texts is lost.
+size. Every link lies within one class, so the links are counted last: all pairs of a
+class, in blocks of bounded size, exactly, and as sums per node and block, not as a list.
 
 Defined cases: null and wordless texts have no shingles, no links and a class of their
 own; rows with a null doc_id get a null class; repeated rows are copies of each other;
@@ -32,6 +32,8 @@ from trailmesh.llm.lineage import checkpointed
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 0.005
 BANDS, ROWS, SIGNATURE, STEP, BLOCK = 25, 5, 128, 16, 256
+#: Shingles of the nodes of a block of a class, and of a step of the comparison of two blocks.
+BLOCK_SHINGLES, COLUMNS = 250_000, 2048
 _seeds = np.random.default_rng(20240229).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -210,11 +212,59 @@ def _across(mixed: DataFrame, kind: str) -> DataFrame:
     return placed.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, matches int").select("a", "b").distinct()
 
 
+def common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of rows with those of cols."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = times > 1  # the others are in no intersection, but for a set's with itself
+    owner, ids = owner[shared[ids]], (np.cumsum(shared) - 1)[ids[shared[ids]]]
+    order = np.argsort(ids, kind="stable")
+    owner, ids = owner[order], ids[order]
+    out = np.zeros((len(rows), len(cols)))
+    for at in range(0, int(np.count_nonzero(shared)), COLUMNS):
+        part = slice(*np.searchsorted(ids, (at, at + COLUMNS)))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[part], ids[part] - at] = 1
+        out += has[rows] @ has[cols].T
+    return out
+
+
+def link_counts(members: DataFrame, texts: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """node, found: the rows of other nodes of its class that reach the threshold with it, of members(node, class, n, copies)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batch = table.combine_chunks().to_batches()[0]
+        sets = [s for part in T.parts(batch, batch.schema.get_field_index("text")) for s in shingle_sets(part.column("text"))]
+        block, copies = table["block"].to_numpy(), table["copies"].to_numpy()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = np.zeros(len(sets), np.int64)
+        if len(rows) and len(cols):
+            n = np.array([len(s) for s in sets])
+            both = common(sets, rows, cols)
+            good = both / (n[rows][:, None] + n[cols] - both) >= threshold
+            if i == j:
+                np.fill_diagonal(good, False)
+            else:
+                found[cols] += good.T @ copies[rows]
+            found[rows] += good @ copies[cols]
+        return pa.table({"node": table["node"], "found": pa.array(found)})
+
+    sizes = members.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "class").withColumn("blocks", F.least("blocks", F.lit(1 << 20)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(texts, "node")
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("class", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "copies", "text")
+    # Few bytes, much work: as many tasks as the session's shuffles have.
+    placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class", "i", "j")
+    return placed.groupBy("class", "i", "j").applyInArrow(run, f"node {kind}, found bigint").groupBy("node").agg(F.sum("found").alias("found"))
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links.
 
-    ``n_links`` counts the copies of the row's shingle set and the verified links of its
-    node; links that follow from others are not looked for.
+    ``n_links`` counts all other rows that reach the threshold with the row: the copies of
+    its shingle set, and the rows of every linked set of its class.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = checkpointed(signatures(docs, doc_id, text))
@@ -235,7 +285,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = components(links)
     rest = _with_class(_with_class(star.select("a", "b"), classes, "a"), classes, "b").filter("c_a <> c_b")
     more = checkpointed(_verified(rest, wanted, kind, threshold))
-    links, classes = links.union(more), joined_classes(classes, more)
+    classes = joined_classes(classes, more)
 
     mixed = _with_class(shared.select("bucket", "node", "m"), classes, "node").withColumnRenamed("c_node", "class")
     several = mixed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
@@ -245,10 +295,12 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     involved = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
     wanted = texts.join(involved, "node", "left_semi").dropDuplicates(["node"])
     more = checkpointed(_verified(left, wanted, kind, threshold))
-    links, classes = links.union(more), joined_classes(classes, more)
+    classes = joined_classes(classes, more)
 
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("found"))
-    nodes = _with_class(sets.select("h1", "h2", "n", "node", "copies"), classes, "node").join(ends, "node", "left")
+    members = sets.select("node", "n", "copies").join(classes, "node")
+    wanted = texts.join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    found = link_counts(members, wanted, kind, threshold)
+    nodes = _with_class(sets.select("h1", "h2", "n", "node", "copies"), classes, "node").join(found, "node", "left")
     sizes = nodes.groupBy(F.col("c_node").alias("class_id")).agg(F.sum("copies").alias("class_size"))
     nodes = nodes.join(sizes, nodes["c_node"] == sizes["class_id"]).select("h1", "h2", "n", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
     out = usable.select("doc_id", "h1", "h2", "n").join(nodes, ["h1", "h2", "n"]).select("doc_id", "class_id", "class_size", "n_links")
