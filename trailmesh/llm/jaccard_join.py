@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from trailmesh.llm import np_text as T
 from trailmesh.llm.lineage import checkpointed
 
-SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 0.005
+#: The tolerance holds at each of the eight looks: together they prune a pair at similarity 0.8 with probability 2e-5.
+SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 2e-6
 BANDS, ROWS, SIGNATURE, STEP, BLOCK = 25, 5, 128, 16, 256
 #: Shingles of the nodes of a block of a class, and of a step of the comparison of two blocks.
 BLOCK_SHINGLES, COLUMNS = 250_000, 2048
