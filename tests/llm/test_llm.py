@@ -342,3 +342,38 @@ def test_jaccard_recall_with_pruning(spark):
     assert all(0.8 <= jaccard_join.jaccard(sets[2 * i], sets[2 * i + 1]) < 0.85 for i in range(600))
     got = {r.doc_id: r.class_id for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i in range(600) if got[2 * i + 1] != 2 * i] == []
+
+
+@pytest.mark.parametrize("head", [1 << 20, 4])
+def test_lm_scores_do_not_depend_on_the_head(spark, monkeypatch, head):
+    monkeypatch.setattr(lm_score, "MAX_WORDS", head)
+    monkeypatch.setattr(lm_score, "MAX_PAIRS", head)
+    monkeypatch.setattr(lm_score, "DEALT", 500, raising=False)
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(50))) for i in range(60)] + [(60, None), (61, "..."), (62, "once only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score_documents(df, df.filter("doc_id < 20")).collect()}
+    assert len(got) == len(rows) and got[60].ce_target is None and got[61].n_tokens == 0
+    losses = []
+    for own in (range(63), range(20)):
+        every, ones, twos, one, two = 0, {}, {}, {}, {}
+        for i, t in rows:
+            w = words(t)
+            for a, b in zip([None, *w], w, strict=False):
+                ones[b], twos[a, b] = ones.get(b, 0) + 1, twos.get((a, b), 0) + 1
+                if i in own:
+                    every, one[b], two[a, b] = every + 1, one.get(b, 0) + 1, two.get((a, b), 0) + 1
+        vocabulary = {w for w, n in ones.items() if n >= 2}
+        rest = every - sum(one.get(w, 0) for w in vocabulary)
+
+        def bits(a, b):
+            low = ((one.get(b, 0) if b in vocabulary else rest) + 1) / (every + len(vocabulary) + 1)
+            before = one.get(a, 0) if a in vocabulary else 0
+            joint = two.get((a, b), 0) if twos[a, b] >= 2 else 0
+            trust = 0.7 * before / (before + 20)
+            return -math.log2(trust * min(1, joint / before if before else 0) + (1 - trust) * low)
+
+        losses.append({i: sum(bits(a, b) for a, b in zip([None, *words(t)], words(t), strict=False)) for i, t in rows})
+    for i, t in rows:
+        if words(t):
+            assert got[i].ce_background == pytest.approx(losses[0][i] / len(words(t))) and got[i].ce_target == pytest.approx(losses[1][i] / len(words(t)))

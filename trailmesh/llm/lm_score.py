@@ -1,12 +1,16 @@
 """Cross-entropy difference of matched target and background n-gram models.
 
 Both models are interpolated bigram models over one vocabulary, counted over all
-documents (target: the rows marked as such). The vocabulary holds the words whose
-share of all background tokens is at least 1 / ``MAX_WORDS``, and the bigram table the
-pairs of a share of at least 1 / ``MAX_PAIRS``: shares, not ranks, so the rule is the
-same at every size, and there cannot be more than that many entries, which bounds what
-is broadcast. Rarer words are <unk>, rarer pairs back off to the word. Counts are
-combined in each task before the shuffle, so a word in every text is a row a batch.
+documents (target: the rows marked as such). The vocabulary holds all words, and the
+bigram table all pairs, that occur ``LEAST`` times at least, at every size. Rarer words
+are <unk>, rarer pairs back off to the word. Counts are combined in each task before
+the shuffle, so a word in every text is a row a batch.
+
+Only the head of both tables is broadcast: the entries whose share of all tokens is at
+least 1 / ``MAX_WORDS`` or 1 / ``MAX_PAIRS``, so there cannot be more than that many.
+All others are looked up by a join: documents are dealt into batches of about ``DEALT``
+tokens, each batch asks once for every key outside the head, and is scored with what
+comes back. What is in the head changes no score.
 
 Defined cases: null and wordless texts have no tokens and null scores; without target
 rows both models are equal and all differences are 0; extra columns are ignored;
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from trailmesh.llm import np_text as T
 from trailmesh.llm.lineage import checkpointed
 
+LEAST, DEALT = 2, 300_000
 MAX_WORDS, MAX_PAIRS = 1 << 20, 1 << 21
 BROADCAST_IDS = 2_000_000
 #: Tokens that a task holds before it hands on their counts; keys leave their lowest bit free.
@@ -40,13 +45,15 @@ def pair_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """(size, key, n, n_target) of all words and pairs of docs(_target, _text)."""
+    """(size, key, n, n_target) of all words (1) and pairs (2) of docs(_target, _text), and of all tokens (0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
         tokens = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            marks = sum(int((x & ~KEY).sum()) for x in held[0])
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([tokens], pa.int64()), pa.array([marks], pa.int64())], ["size", "key", "n", "n_target"])
             for size in (0, 1):
                 keys = np.concatenate([*held[size], np.zeros(0, np.uint64)])
                 held[size].clear()
@@ -102,27 +109,28 @@ class Table:
 
 
 class MatchedModels:
-    """Both interpolated bigram models over the shared vocabulary."""
-
-    def __init__(self, words: tuple, pairs: tuple, totals: tuple[int, int], weight: float) -> None:
-        self.words, self.pairs, self.weight = Table(*words), Table(*pairs), weight
-        self.unigram = []
-        for counts, total in zip(self.words.values, totals, strict=True):
-            size = len(counts) + 1
-            rest = max(0, total - counts.sum())  # tokens outside the vocabulary
-            self.unigram.append((np.append(counts, rest) + 1.0) / (total + size))
-
-    def losses(self, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Bits of every token under the background and the target model."""
-        word = self.words.find(hashes)
-        pair = self.pairs.find(pair_keys(hashes, first))
-        before = np.roll(word, 1)
-        before[first[:-1][first[:-1] < len(word)]] = -1
+    """Both interpolated bigram models over the shared vocabulary; the heads of their tables."""
+
+    def __init__(self, words: tuple, pairs: tuple, totals: tuple[int, int], known: tuple[int, int], size: int, weight: float) -> None:
+        """known: tokens of the vocabulary's words in either model; size: words of the vocabulary."""
+        self.words, self.pairs, self.totals, self.size, self.weight = Table(*words), Table(*pairs), totals, size + 1, weight
+        self.rest = [max(0, total - own) for total, own in zip(totals, known, strict=True)]  # tokens outside the vocabulary
+
+    def missing(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct keys of words and of pairs that are not in the heads."""
+        keys = (np.unique(k & KEY) for k in (hashes, pair_keys(hashes, first)))
+        return tuple(k[table.find(k) < 0] for k, table in zip(keys, (self.words, self.pairs), strict=True))
+
+    def losses(self, hashes: np.ndarray, first: np.ndarray, words: Table, pairs: Table) -> list[np.ndarray]:
+        """Bits of every token under the background and the target model; words and pairs: entries outside the heads."""
+        seen = [(head.find(k), head, more.find(k), more) for k, head, more in ((hashes, self.words, words), (pair_keys(hashes, first), self.pairs, pairs))]
+        (at, _, other, _), _ = seen
         out = []
         for k in (0, 1):
-            low = self.unigram[k][word]
-            counts = np.append(self.words.values[k], 0)[before].astype(float)
-            joint = np.append(self.pairs.values[k], 0)[pair].astype(float)
+            count, joint = (np.where(i >= 0, np.append(head.values[k], 0)[i], np.append(more.values[k], 0)[j]).astype(float) for i, head, j, more in seen)
+            low = (np.where((at >= 0) | (other >= 0), count, self.rest[k]) + 1.0) / (self.totals[k] + self.size)
+            counts = np.roll(count, 1)
+            counts[first[:-1][first[:-1] < len(counts)]] = 0
             known = (counts > 0) & (joint > 0)
             # Witten-Bell-like weight: the more is known of the history, the more its pairs count.
             trust = np.where(counts > 0, self.weight * counts / (counts + 20.0), 0.0)
@@ -131,17 +139,20 @@ class MatchedModels:
         return out
 
 
-def fit_models(docs: DataFrame, weight: float = 0.7) -> MatchedModels:
-    """Models of docs(_target, _text); at most MAX_WORDS + MAX_PAIRS rows reach the driver."""
-    counts = checkpointed(ngram_counts(docs))
-    totals = counts.filter("size = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_target"), F.lit(0)).alias("t")).first()
-    total, target = int(totals["n"]), int(totals["t"])
-    tables = []
-    for size, most in ((1, MAX_WORDS), (2, MAX_PAIRS)):
-        kept = counts.filter((F.col("size") == size) & (F.col("n") >= max(2, -(-total // most)))).select("key", "n", "n_target").toArrow()
-        n, t = kept.column("n").to_numpy(), kept.column("n_target").to_numpy()
-        tables.append((kept.column("key").to_numpy().view(np.uint64), n, t if target else n))
-    return MatchedModels(tables[0], tables[1], (total, target or total), weight)
+def _arrays(kept: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return kept.column("key").to_numpy().view(np.uint64), kept.column("n").to_numpy(), kept.column("n_target").to_numpy()
+
+
+def fit_models(docs: DataFrame, weight: float = 0.7) -> tuple[MatchedModels, DataFrame]:
+    """Models of docs(_target, _text) with the heads of their tables, at most MAX_WORDS + MAX_PAIRS rows, and all other entries."""
+    counts = checkpointed(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)))
+    sums = {r["size"]: r for r in counts.groupBy("size").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect()}
+    total, target = (int(sums[0]["n"]), int(sums[0]["t"])) if 0 in sums else (0, 0)
+    size, known, marked = (int(sums[1]["rows"]), int(sums[1]["n"]), int(sums[1]["t"])) if 1 in sums else (0, 0, 0)
+    counts = counts.filter("size > 0").withColumn("n_target", F.col("n_target" if target else "n"))
+    head = F.col("n") >= F.when(F.col("size") == 1, -(-total // MAX_WORDS)).otherwise(-(-total // MAX_PAIRS))
+    tables = [_arrays(counts.filter((F.col("size") == size_) & head).select("key", "n", "n_target").toArrow()) for size_ in (1, 2)]
+    return MatchedModels(*tables, (total, target or total), (known, marked if target else known), size, weight), counts.filter(~head)
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,24 +165,60 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_i
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     marked = own.join(ids, F.col("_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().alias("_target"), "_text")
-    shared = docs.sparkSession.sparkContext.broadcast(fit_models(marked))
+    models, others = fit_models(marked)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema[doc_id].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
+    names = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"]
+    scores = f"doc_id {kind}, n_tokens bigint, ce_target double, ce_background double, ce_difference double"
+
+    def measure(batch: pa.RecordBatch, words: Table, pairs: Table) -> Iterator[pa.RecordBatch]:
+        for part in T.parts(batch, 1, 2_000_000):
+            buf, bounds = T.buffer_of(part.column(1))
+            starts, _, hashes = T.word_spans(buf, bounds)
+            first = T.words_per_text(starts, bounds)
+            n = np.diff(first)
+            base, target = (np.add.reduceat(np.append(x, 0.0), np.minimum(first[:-1], len(x))) if len(x) else np.zeros(len(n)) for x in shared.value.losses(hashes, first, words, pairs))
+            none = n == 0
+            size = np.maximum(n, 1)
+            cols = [target / size, base / size, (target - base) / size]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *[pa.array(c, pa.float64(), mask=none) for c in cols]], names)
+
+    def table(found: pa.Table, size: int) -> Table:
+        key, n, target = _arrays(found)
+        own = found.column("size").to_numpy() == size
+        return Table(key[own], n[own], target[own])
+
+    if others.isEmpty():
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            none = Table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            for batch in batches:
+                yield from measure(batch, none, none)
+
+        return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, scores)
+
+    dealt = own.withColumn("deal", F.pmod(F.xxhash64("_id", "_text"), F.lit(max(1, -(-models.totals[0] // DEALT)))).cast("int"))
+
+    def ask(docs: pa.Table) -> pa.Table:
+        keys: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        for batch in docs.combine_chunks().to_batches():
             for part in T.parts(batch, 1, 2_000_000):
                 buf, bounds = T.buffer_of(part.column(1))
                 starts, _, hashes = T.word_spans(buf, bounds)
-                first = T.words_per_text(starts, bounds)
-                n = np.diff(first)
-                base, target = (np.add.reduceat(np.append(x, 0.0), np.minimum(first[:-1], len(x))) if len(x) else np.zeros(len(n)) for x in models.losses(hashes, first))
-                none = n == 0
-                size = np.maximum(n, 1)
-                cols = [target / size, base / size, (target - base) / size]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), *[pa.array(c, pa.float64(), mask=none) for c in cols]], ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"])
-
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ce_target double, ce_background double, ce_difference double")
+                for held, new in zip(keys, shared.value.missing(hashes, T.words_per_text(starts, bounds)), strict=True):
+                    held.append(new)
+        one, two = (np.unique(np.concatenate(x)).view(np.int64) for x in keys)
+        size = np.repeat(np.array([1, 2], np.int32), [len(one), len(two)])
+        return pa.table({"deal": pa.array(np.full(len(size), docs["deal"][0].as_py(), np.int32)), "size": pa.array(size), "key": pa.array(np.concatenate([one, two]))})
+
+    def answer(docs: pa.Table, found: pa.Table) -> pa.Table:
+        words, pairs = table(found, 1), table(found, 2)
+        done = [x for batch in docs.combine_chunks().to_batches() for x in measure(batch, words, pairs)]
+        return pa.Table.from_batches(done) if done else pa.table({n: pa.array([], t) for n, t in zip(names, [docs.schema.field(0).type, pa.int64(), *[pa.float64()] * 3], strict=True)})
+
+    asked = dealt.groupBy("deal").applyInArrow(ask, "deal int, size int, key bigint")
+    found = asked.join(others, ["size", "key"]).select("deal", "size", "key", "n", "n_target")
+    return dealt.groupBy("deal").cogroup(found.groupBy("deal")).applyInArrow(answer, scores)
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
