@@ -377,3 +377,14 @@ def test_lm_scores_do_not_depend_on_the_head(spark, monkeypatch, head):
     for i, t in rows:
         if words(t):
             assert got[i].ce_background == pytest.approx(losses[0][i] / len(words(t))) and got[i].ce_target == pytest.approx(losses[1][i] / len(words(t)))
+
+
+def test_pii_numbers_and_mailish_are_found(spark):
+    rows = [(i, f"so the phone: 555-123-{1000 + i} and mail me at name{i} (at) host{i}.com now") for i in range(30)]
+    rows += [(100, "seen +1 (269) 555-3296 first"), (101, "then (269) 555-3296 again"), (102, "part 555-123-4567 of a list"), (103, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, rows[i][1][s.start : s.end]) for s in r.spans] for i, r in enumerate(sorted(pii.scan_pii(df).collect(), key=lambda r: r.doc_id))}
+    for i in range(30):
+        assert ("number", f"555-123-{1000 + i}") in got[i]
+        assert ("mailish", f"name{i} (at) host{i}.com") in got[i]
+    assert ("phone", "+1 (269) 555-3296") in got[100] and got[102] == [] and got[103] == []

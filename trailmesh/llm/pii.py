@@ -3,9 +3,10 @@
 High-recall generators propose overlapping spans. Every candidate becomes a small
 vector of binned format and context features, so the exact training table, counts
 per feature vector over the whole corpus, has at most ``MAX_VECTORS`` rows whatever
-the input. Boosted depth-2 trees are fitted to it on the driver (weak labels: the
-validation rules of the formats) and applied as SQL expressions; the threshold of
-each kind is calibrated on the same counts. Redactions are all validated spans and
+the input. Boosted depth-2 trees are fitted to it on the driver and applied as SQL expressions; the threshold of
+each kind is calibrated on the same counts. Weak labels are the validation rules of the
+formats; numbers and mail-like forms have none, so theirs are the values that occur
+validated elsewhere in the corpus, and cue words before the candidate. Redactions are all validated spans and
 all other candidates above the threshold of their kind.
 
 Defined cases: null text is empty and has no spans; without any candidate no tree is
@@ -31,8 +32,10 @@ KINDS = [
     Kind("number", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])"),
     Kind("mailish", r"[A-Za-z0-9._-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{2,63}\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z]{2,24}", hint=r"[(\[]at[)\]]"),
 ]
-N_BASE = 4
-FEATURES = {"rank": len(KINDS), "digits": 6, "length": 6, "groups": 4, "signs": 4, "left": 4, "valid_shape": 2}
+N_BASE, CONTEXT = 4, 24
+PHONE_CUE = r"(?i)(?<![a-z])(?:tele?|phone|telephone|call|fax|mobile|cell|dial|sms|whatsapp)(?![a-z])[^a-z0-9]*(?:(?:me|us|at|on|no|number|is)(?![a-z])[^a-z0-9]*){0,2}$"
+MAIL_CUE = r"(?i)(?<![a-z])(?:e-?mail|mail|write|contact|reach)(?![a-z])[^a-z0-9]*(?:(?:me|us|at|to|is|address)(?![a-z])[^a-z0-9]*){0,2}$"
+FEATURES = {"rank": len(KINDS), "digits": 6, "length": 6, "groups": 4, "signs": 4, "left": 4, "valid_shape": 2, "cue": 3, "before": 3, "after": 3}
 MAX_VECTORS = math.prod(FEATURES.values())
 
 
@@ -64,8 +67,20 @@ def _bin(c: Column, cuts: list[int]) -> Column:
     return out
 
 
+def _side(c: Column, letter: str) -> Column:
+    """0 nothing, 1 no letter or digit, 2 a letter or digit next to the candidate."""
+    return F.when(F.length(c) == 0, 0).when(c.rlike(letter), 2).otherwise(1)
+
+
+def labelled(found: DataFrame) -> DataFrame:
+    """Candidates with ``label``: valid, or for kinds without a rule a cue word or a value that is validated elsewhere."""
+    known = found.filter(F.col("valid") & F.col("plain").isNotNull()).select("plain", F.lit(True).alias("known")).distinct()
+    cue = (F.col("kind") == "number") & (F.col("cue") == 1) | (F.col("kind") == "mailish") & (F.col("cue") == 2)
+    return found.join(known, "plain", "left").withColumn("label", F.col("valid") | cue | (F.col("rank") >= N_BASE) & F.coalesce("known", F.lit(False)))
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """Located candidates with their binned features and weak label ``valid``."""
+    """Located candidates with their binned features, ``valid`` and ``plain``, the value that is compared with validated ones."""
     c = located(rows, KINDS)
     digits = F.regexp_replace("match", "[^0-9]", "")
     c = c.withColumn("_digits", digits)
@@ -78,13 +93,20 @@ def candidates(rows: DataFrame) -> DataFrame:
         _bin(signs, [1, 2, 4]).alias("signs"),
         _bin(F.col("start"), [1, 200, 2000]).alias("left"),
         F.when((F.col("kind") == "email") & F.col("match").rlike(r"\.[A-Za-z]{2,24}$") | (F.col("kind") == "ip") & F.col("match").rlike(r"^[1-9][0-9]{0,2}(\.[0-9]{1,3}){3}$") | (F.col("kind") == "phone") & F.col("match").rlike(r"\([0-9]{3}\)") | F.col("kind").isin("number", "mailish") | (F.col("kind") == "card") & F.col("match").rlike("^[0-9]{15,16}$"), 1).otherwise(0).alias("valid_shape"),
+        F.when(F.col("before").rlike(PHONE_CUE), 1).when(F.col("before").rlike(MAIL_CUE), 2).otherwise(0).alias("cue"),
+        _side(F.col("before"), "[A-Za-z0-9]$").alias("before"),
+        _side(F.col("after"), "^[A-Za-z0-9]").alias("after"),
         _valid(F.col("_digits")).alias("valid"),
+        F.when(F.col("kind").isin("phone", "number"), F.right("_digits", F.lit(10)))
+        .when(F.col("kind") == "email", F.lower("match"))
+        .when(F.col("kind") == "mailish", F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower("match"), r"[(\[]at[)\]]", "@"), r"[(\[]dot[)\]]", "."), r"\x20", ""))
+        .alias("plain"),
     )
 
 
 def fit_trees(table: list[tuple[tuple[int, ...], float, float]], rounds: int = 12, rate: float = 0.4) -> list:
     """Newton boosting of depth-2 trees on (features, weight of 0, weight of 1) rows."""
-    names = list(FEATURES)
+    names = list(FEATURES)[: len(table[0][0])]
     score = [0.0] * len(table)
     trees = []
     for _ in range(rounds):
@@ -147,9 +169,9 @@ def calibrate(table: list, trees: list, precision: float) -> dict[int, float]:
 
 def scan_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precision: float = 0.98) -> DataFrame:
     """One row per input row: doc_id and spans (start, rank, end, kind, score)."""
-    rows = checkpointed(candidate_rows(docs, KINDS, doc_id, text))
+    rows = checkpointed(candidate_rows(docs, KINDS, doc_id, text, context=CONTEXT))
     found = checkpointed(candidates(rows))
-    counted = found.groupBy(*FEATURES).agg(F.sum((~F.col("valid")).cast("int")).alias("w0"), F.sum(F.col("valid").cast("int")).alias("w1"))
+    counted = labelled(found).groupBy(*FEATURES).agg(F.sum((~F.col("label")).cast("int")).alias("w0"), F.sum(F.col("label").cast("int")).alias("w1"))
     table = sorted((tuple(r[n] for n in FEATURES), float(r["w0"]), float(r["w1"])) for r in counted.collect())  # MAX_VECTORS rows at most
     trees = fit_trees(table) if table else []
     cuts = calibrate(table, trees, precision)

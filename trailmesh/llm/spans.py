@@ -24,7 +24,7 @@ class Kind:
     hint: str | None = None
 
 
-def _found(text: Column, kind: Kind, rank: int) -> Column:
+def _found(text: Column, kind: Kind, rank: int, context: int = 0) -> Column:
     rx = F.lit(kind.pattern)
     gaps = F.transform(F.split(text, kind.pattern, -1), lambda g: F.length(g))
     full = F.regexp_extract_all(text, rx, F.lit(0))
@@ -33,18 +33,24 @@ def _found(text: Column, kind: Kind, rank: int) -> Column:
         F.arrays_zip(full.alias("m"), value.alias("v"), F.slice(gaps, F.lit(1), F.size(full)).alias("g")),
         lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("i"), x["g"].alias("gap"), x["m"].alias("match"), x["v"].alias("value")),
     )
-    none = F.array().cast("array<struct<rank:int,i:int,gap:int,match:string,value:string>>")
+    sides = ""
+    if context:  # what stands before and after a match, up to the next match of the kind
+        pieces = F.split(text, kind.pattern, -1)
+        before, after = F.transform(pieces, lambda g: F.right(g, F.lit(context))), F.transform(pieces, lambda g: F.left(g, F.lit(context)))
+        sides = ",before:string,after:string"
+        rows = F.zip_with(rows, F.arrays_zip(F.slice(before, F.lit(1), F.size(full)).alias("b"), F.slice(after, F.lit(2), F.size(full)).alias("a")), lambda x, y: F.struct(*[x[n].alias(n) for n in ("rank", "i", "gap", "match", "value")], y["b"].alias("before"), y["a"].alias("after")))
+    none = F.array().cast(f"array<struct<rank:int,i:int,gap:int,match:string,value:string{sides}>>")
     return F.when(text.rlike(kind.hint or kind.pattern), rows).otherwise(none)
 
 
-def candidate_rows(docs: DataFrame, kinds: list[Kind], doc_id: str, text: str, *keep: Column) -> DataFrame:
-    """doc_id, _key (hash of the text), the kept columns and ``found``: all matches of all kinds."""
+def candidate_rows(docs: DataFrame, kinds: list[Kind], doc_id: str, text: str, *keep: Column, context: int = 0) -> DataFrame:
+    """doc_id, _key (hash of the text), the kept columns and ``found``: all matches of all kinds, with ``context`` characters of either side."""
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         F.xxhash64(F.col(text)).alias("_key"),
         *keep,
-        F.concat(*[_found(t, k, r) for r, k in enumerate(kinds)]).alias("found"),
+        F.concat(*[_found(t, k, r, context) for r, k in enumerate(kinds)]).alias("found"),
     )
 
 
