@@ -13,8 +13,9 @@ size. Every link lies within one class, so the links are counted last: all pairs
 class, in blocks of bounded size, exactly, and as sums per node and block, not as a list.
 
 Defined cases: null and wordless texts have no shingles, no links and a class of their
-own; rows with a null doc_id get a null class; repeated rows are copies of each other;
-an empty table gives an empty result; extra columns are ignored.
+own; rows with a null doc_id get a null class; repeated rows are copies of each other,
+and rows that share a doc_id but no text are different rows; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 2e-6
 BANDS, ROWS, SIGNATURE, STEP, BLOCK = 25, 5, 128, 16, 256
 #: Shingles of the nodes of a block of a class, and of a step of the comparison of two blocks.
 BLOCK_SHINGLES, COLUMNS = 250_000, 2048
+#: Rows of a file of the loop's state.
+PER_FILE = 200_000
 _seeds = np.random.default_rng(20240229).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -91,24 +94,25 @@ def surviving(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarr
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n (shingles), h1, h2 (hashes of the set), sig and bands of every row."""
+    """doc_id, key (hash of the text), n (shingles), node (128-bit hash of the set), sig and bands of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in T.parts(batch, 1):
-                n, h1, h2, sig, bands = [], [], [], [], []
+            for part in T.parts(batch, 1, 1_000_000):
+                n, node, sig, bands = [], [], [], []
                 for s in shingle_sets(part.column(1)):
                     n.append(len(s))
-                    h1.append(int(s.sum().view(np.int64)) if len(s) else 0)
-                    h2.append(int(T.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(s) else 0)
                     if not len(s):
-                        sig.append(b"")
-                        bands.append([])
+                        node.append(None)
+                        sig.append(None)
+                        bands.append(None)
                         continue
+                    other = T.mix(s ^ np.uint64(0x5851F42D4C957F2D))
+                    node.append(np.array([s.sum(), other.sum()], ">u8").tobytes())
                     low = np.full(SIGNATURE, 0xFFFFFFFFFFFFFFFF, np.uint64)
-                    for a in range(0, len(s), 4096):
-                        low = np.minimum(low, (s[a : a + 4096, None] * _seeds).min(0))
+                    for a in range(0, len(s), 2048):
+                        low = np.minimum(low, (s[a : a + 2048, None] * _seeds).min(0))
                     low = T.mix(low)
                     sig.append((low >> np.uint64(48)).astype("<u2").tobytes())
                     band = np.arange(BANDS, dtype=np.uint64)
@@ -116,14 +120,15 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                         band = T.mix(band * np.uint64(0x9E3779B97F4A7C15) + low[r : BANDS * ROWS : ROWS])
                     bands.append(band.view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "h1", "h2", "sig", "bands"],
+                    [part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "n", "node", "sig", "bands"],
                 )
 
-    return docs.select(F.col(doc_id), F.col(text)).mapInArrow(run, f"doc_id {kind}, n int, h1 bigint, h2 bigint, sig binary, bands array<bigint>")
+    own = docs.select(F.col(doc_id), F.col(text), F.xxhash64(F.col(text)))
+    return own.mapInArrow(run, f"doc_id {kind}, key bigint, n int, node binary, sig binary, bands array<bigint>")
 
 
-def _pruned(pairs: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
+def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures survive the incremental comparison, with their matches."""
     least = least_matches()
 
@@ -135,10 +140,10 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, kind: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(matches.astype(np.int32))], ["a", "b", "matches"])
 
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}, matches int")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, matches int")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, kind: str, threshold: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets reach the threshold, exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,22 +154,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, kind: str, threshold: float) -
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, class (its smallest node) of all nodes with links: smallest labels with pointer jumping.
 
     The joins of the loop are sort-merge joins at every size: edges and labels grow with
-    the input, and a broadcast in every round would fill the driver.
+    the input, and a broadcast in every round would fill the driver. Each round is
+    written in as many files as its counted rows call for.
     """
     both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
-    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("class")))
+    files = -(-both.count() // PER_FILE)
+    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("class")), files)
     while True:
         near = both.join(label.hint("merge"), both["v"] == label["node"]).groupBy("u").agg(F.min("class").alias("near"))
         step = label.join(near.hint("merge"), label["node"] == near["u"]).select("node", F.col("class").alias("old"), F.least("class", "near").alias("to"))
         jump = label.select(F.col("node").alias("to"), F.col("class").alias("far"))
-        step = checkpointed(step.join(jump.hint("merge"), "to").select("node", "old", F.least("to", "far").alias("class")))
+        step = checkpointed(step.join(jump.hint("merge"), "to").select("node", "old", F.least("to", "far").alias("class")), files)
         changed = not step.filter("old <> class").isEmpty()
         label = step.select("node", "class")
         if not changed:
@@ -185,7 +192,7 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(known.unionByName(found.join(classes.select("node"), "node", "left_anti")))
 
 
-def _across(mixed: DataFrame, kind: str) -> DataFrame:
+def _across(mixed: DataFrame) -> DataFrame:
     """Surviving pairs of different classes within each bucket, block by block."""
     least = least_matches()
 
@@ -201,16 +208,16 @@ def _across(mixed: DataFrame, kind: str) -> DataFrame:
             other = other[other > r] if i == j else other
             # A pair belongs to the first bucket that it shares, so it comes up once.
             other = other[bands[r, (bands[other] == bands[r]).argmax(1)] == bucket] if len(other) else other
-            alive, matches = surviving(np.broadcast_to(sig[r], (len(other), SIGNATURE)), sig[other], least)
-            out += [(min(node[r], node[o]), max(node[r], node[o]), m) for o, m in zip(other[alive], matches, strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "matches"])
+            alive, _ = surviving(np.broadcast_to(sig[r], (len(other), SIGNATURE)), sig[other], least)
+            out += [(min(node[r], node[o]), max(node[r], node[o])) for o in other[alive]]
+        return pd.DataFrame(out, columns=["a", "b"])
 
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
     placed = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("bucket", "node", "class", "sig", "bands", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
     # Few bytes, much work: as many tasks as the session's shuffles have, not as few as their size suggests.
     placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
-    return placed.groupBy("bucket", "i", "j").applyInPandas(run, f"a {kind}, b {kind}, matches int").select("a", "b").distinct()
+    return placed.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
 
 
 def common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -230,7 +237,7 @@ def common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.nda
     return out
 
 
-def link_counts(members: DataFrame, texts: DataFrame, kind: str, threshold: float) -> DataFrame:
+def link_counts(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """node, found: the rows of other nodes of its class that reach the threshold with it, of members(node, class, n, copies)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -258,61 +265,76 @@ def link_counts(members: DataFrame, texts: DataFrame, kind: str, threshold: floa
     placed = placed.select("class", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "copies", "text")
     # Few bytes, much work: as many tasks as the session's shuffles have.
     placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class", "i", "j")
-    return placed.groupBy("class", "i", "j").applyInArrow(run, f"node {kind}, found bigint").groupBy("node").agg(F.sum("found").alias("found"))
+    return placed.groupBy("class", "i", "j").applyInArrow(run, "node binary, found bigint").groupBy("node").agg(F.sum("found").alias("found"))
 
 
-def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links.
-
-    ``n_links`` counts all other rows that reach the threshold with the row: the copies of
-    its shingle set, and the rows of every linked set of its class.
-    """
-    kind = docs.schema[doc_id].dataType.simpleString()
+def _classified(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """All rows, their distinct sets, (node, class) of all sets with links, and (doc_id, key, text) of docs."""
     rows = checkpointed(signatures(docs, doc_id, text))
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    sets = usable.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min_by(F.struct("sig", "bands"), "doc_id").alias("x"))
-    sets = checkpointed(sets.select("h1", "h2", "n", "node", "copies", "x.sig", "x.bands"))
+    sets = usable.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.first(F.struct("n", "sig", "bands")).alias("x"))
+    sets = checkpointed(sets.select("node", "copies", "rep", "x.n", "x.sig", "x.bands"))
     bands = sets.select("node", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).filter("m > 1")
     shared = checkpointed(bands.join(buckets, "bucket"))
-    texts = docs.select(F.col(doc_id).alias("node"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
     star = shared.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(shared.select("node", "hi")).filter("a <> b").distinct()
-    star = checkpointed(_pruned(star, sets, kind))
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
-    involved = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
-    wanted = texts.join(involved, "node", "left_semi").dropDuplicates(["node"])
-    links = checkpointed(_verified(best, wanted, kind, threshold))
-    classes = components(links)
-    rest = _with_class(_with_class(star.select("a", "b"), classes, "a"), classes, "b").filter("c_a <> c_b")
-    more = checkpointed(_verified(rest, wanted, kind, threshold))
-    classes = joined_classes(classes, more)
+    best = _pruned(star, sets).groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
+    classes = components(_linked(checkpointed(best), sets, texts, threshold))
 
+    # Buckets that still hold several classes; pairs of a pivot that were no node's best come up here again.
     mixed = _with_class(shared.select("bucket", "node", "m"), classes, "node").withColumnRenamed("c_node", "class")
     several = mixed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
     mixed = mixed.join(several, "bucket").join(sets.select("node", "sig", "bands"), "node")
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = checkpointed(_across(mixed, kind).join(done, ["a", "b"], "left_anti"))
-    involved = left.select(F.col("a").alias("node")).union(left.select("b")).distinct()
-    wanted = texts.join(involved, "node", "left_semi").dropDuplicates(["node"])
-    more = checkpointed(_verified(left, wanted, kind, threshold))
-    classes = joined_classes(classes, more)
+    more = _linked(checkpointed(_across(mixed)), sets, texts, threshold)
+    return rows, sets, joined_classes(classes, more), texts
+
+
+def _texts_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and the text of its representative row, once each."""
+    reps = sets.join(nodes, "node", "left_semi").select("node", "rep.doc_id", "rep.key")
+    return reps.join(texts, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
+
 
+def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return checkpointed(_verified(pairs, _texts_of(involved, sets, texts), threshold))
+
+
+def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, class_id (smallest doc_id of the class), class_size, n_links.
+
+    ``n_links`` counts all other rows that reach the threshold with the row: the copies of
+    its shingle set, and the rows of every linked set of its class.
+    """
+    rows, sets, classes, texts = _classified(docs, doc_id, text, threshold)
     members = sets.select("node", "n", "copies").join(classes, "node")
-    wanted = texts.join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    found = link_counts(members, wanted, kind, threshold)
-    nodes = _with_class(sets.select("h1", "h2", "n", "node", "copies"), classes, "node").join(found, "node", "left")
-    sizes = nodes.groupBy(F.col("c_node").alias("class_id")).agg(F.sum("copies").alias("class_size"))
-    nodes = nodes.join(sizes, nodes["c_node"] == sizes["class_id"]).select("h1", "h2", "n", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
-    out = usable.select("doc_id", "h1", "h2", "n").join(nodes, ["h1", "h2", "n"]).select("doc_id", "class_id", "class_size", "n_links")
+    found = link_counts(members, _texts_of(classes.select("node"), sets, texts), threshold)
+    nodes = _with_class(sets.select("node", "copies", "rep.doc_id"), classes, "node").join(found, "node", "left")
+    sizes = nodes.groupBy("c_node").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    nodes = nodes.join(sizes, "c_node").select("node", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
+    out = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node").join(nodes, "node").select("doc_id", "class_id", "class_size", "n_links")
     alone = rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(alone)
 
 
 def keep_one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with the smallest doc_id of their class, with all their columns."""
-    gone = jaccard_classes(docs, doc_id, text, threshold).filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__tm_gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__tm_gone"), "left_anti")
+    """One row of every class, the one with the smallest doc_id (and text hash), with all its columns.
+
+    Rows without words or doc_id all stay; of repeated rows one stays.
+    """
+    rows, sets, classes, _ = _classified(docs, doc_id, text, threshold)
+    nodes = _with_class(sets.select("node", "rep"), classes, "node")
+    kept = nodes.groupBy("c_node").agg(F.min("rep").alias("kept"))
+    nodes = nodes.join(kept, "c_node").select("node", "kept")
+    own = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "node").join(nodes, "node")
+    own = own.groupBy(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key")).agg(F.max(F.struct("doc_id", "key") == F.col("kept")).alias("__tm_kept"), F.count("*").alias("__tm_rows"))
+    out = checkpointed(own.filter("NOT __tm_kept OR __tm_rows > 1"))
+    same = (F.col(doc_id) == F.col("__tm_id")) & (F.xxhash64(F.col(text)) == F.col("__tm_key"))
+    once = docs.join(out, same, "left_anti")
+    repeated = docs.join(out.filter("__tm_kept"), same, "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(repeated)
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder named by spark.checkpoint.dir."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where or "/tmp/checkpoints")
-    return df.checkpoint()
+def shared_folder(spark) -> str:
+    """The folder of spark.checkpoint.dir; on a local master without one, a new temporary folder."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        where = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
+
+
+def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage in the shared folder, in at most ``files`` files."""
+    shared_folder(df.sparkSession)
+    return (df.coalesce(max(1, files)) if files is not None else df).checkpoint()
