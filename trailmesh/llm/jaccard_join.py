@@ -9,7 +9,7 @@ others are verified exactly on their shingle sets.
 No bucket is expanded into all pairs. First every node of a bucket meets two pivots of
 it (its smallest and its largest node); what links is one class. Only then the buckets
 that still hold several classes are compared across classes, in blocks of bounded
-size. Every link lies within one class, so the links are counted last: all pairs of a
+size, from which only links that join classes leave. Every link lies within one class, so the links are counted last: all pairs of a
 class, in blocks of bounded size, exactly, and as sums per node and block, not as a list.
 
 Defined cases: null and wordless texts have no shingles, no links and a class of their
@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +35,8 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 2e-6
 BANDS, ROWS, SIGNATURE, STEP, BLOCK = 25, 5, 128, 16, 256
 #: Shingles of the nodes of a block of a class, and of a step of the comparison of two blocks.
 BLOCK_SHINGLES, COLUMNS = 250_000, 2048
-#: Rows of a file of the loop's state.
-PER_FILE = 200_000
+#: Rows of the table, or of the loop's state, for a file of an intermediate table; fewer files where there are few rows.
+PER_FILE, STATE_PER_FILE = 10_000, 200_000
 _seeds = np.random.default_rng(20240229).integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -165,7 +164,7 @@ def components(links: DataFrame) -> DataFrame:
     written in as many files as its counted rows call for.
     """
     both = checkpointed(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct())
-    files = -(-both.count() // PER_FILE)
+    files = -(-both.count() // STATE_PER_FILE)
     label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("class")), files)
     while True:
         near = both.join(label.hint("merge"), both["v"] == label["node"]).groupBy("u").agg(F.min("class").alias("near"))
@@ -183,41 +182,80 @@ def _with_class(nodes: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     return nodes.join(own, name, "left").withColumn(f"c_{name}", F.coalesce(f"c_{name}", name))
 
 
-def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+def joined_classes(classes: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:
     """The classes after further links; the loop runs over the classes that these join, not over all links again."""
     ends = _with_class(_with_class(links.select("a", "b"), classes, "a"), classes, "b").filter("c_a <> c_b")
     found = components(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
     moved = found.select(F.col("node").alias("class"), F.col("class").alias("to"))
     known = classes.join(moved, "class", "left").select("node", F.coalesce("to", "class").alias("class"))
-    return checkpointed(known.unionByName(found.join(classes.select("node"), "node", "left_anti")))
+    return checkpointed(known.unionByName(found.join(classes.select("node"), "node", "left_anti")), files)
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Surviving pairs of different classes within each bucket, block by block."""
+def _joining(pairs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Those rows of pairs that join classes not joined before; own: the class of each node."""
+    root = list(range(int(own.max(initial=-1)) + 1))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    keep = []
+    for k, (x, y) in enumerate(own[pairs].tolist()):
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            keep.append(k)
+    return pairs[keep]
+
+
+def _across(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join different classes within the buckets of mixed(bucket, node, class, n).
+
+    A bucket's nodes are dealt into blocks of bounded size, and each pair of blocks is one
+    group: its pairs of different classes are compared by signature, those that survive
+    exactly, and of the links found only a spanning set leaves the group. The nodes of
+    the bucket's largest class meet those of other classes, never each other.
+    """
     least = least_matches()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), "<u2").reshape(-1, SIGNATURE)
-        bands, bucket = np.stack(pdf["bands"].to_list()), pdf["bucket"].iloc[0]
-        own, block, node = pd.factorize(pdf["class"])[0], pdf["block"].to_numpy(), pdf["node"].to_numpy()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    def run(table: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, SIGNATURE)
+        block = table["block"].to_numpy()
+        own = np.unique(np.array(table["class"].to_pylist(), "V16").view("S16"), return_inverse=True)[1]
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out = []
-        for r in rows.tolist():
-            other = cols[own[cols] != own[r]]
-            other = other[other > r] if i == j else other
-            # A pair belongs to the first bucket that it shares, so it comes up once.
-            other = other[bands[r, (bands[other] == bands[r]).argmax(1)] == bucket] if len(other) else other
-            alive, _ = surviving(np.broadcast_to(sig[r], (len(other), SIGNATURE)), sig[other], least)
-            out += [(min(node[r], node[o]), max(node[r], node[o])) for o in other[alive]]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int")
-    placed = mixed.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("bucket", "node", "class", "sig", "bands", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+        left, right = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
+        open_ = (own[left] != own[right]) & ((left < right) if i == j else True)
+        left, right = left[open_], right[open_]
+        alive = np.concatenate([np.zeros(0, np.int64), *(surviving(sig[left[k : k + 8192]], sig[right[k : k + 8192]], least)[0] + k for k in range(0, len(left), 8192))])
+        left, right = left[alive], right[alive]
+        if len(left):
+            asked, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+            batch = table.select(["text"]).take(pa.array(asked)).combine_chunks().to_batches()[0]
+            sets = [s for part in T.parts(batch, 0) for s in shingle_sets(part.column(0))]
+            n = np.array([len(s) for s in sets])
+            x, y = at[: len(left)], at[len(left) :]
+            rows, cols = np.unique(x), np.unique(y)
+            both = common(sets, rows, cols)[np.searchsorted(rows, x), np.searchsorted(cols, y)]
+            good = both / (n[x] + n[y] - both) >= threshold
+            pairs = _joining(np.stack([left[good], right[good]], 1), own)
+        else:
+            pairs = np.zeros((0, 2), np.int64)
+        return pa.table({"a": table["node"].take(pa.array(pairs[:, 0])), "b": table["node"].take(pa.array(pairs[:, 1]))})
+
+    sizes = mixed.groupBy("bucket", "class").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("m", "class")).alias("core"), F.max("m").alias("m_core"), F.max_by("n", F.struct("m", "class")).alias("n_core"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("classes"))
+    blocks = lambda m, n: F.greatest(F.ceil(m / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.filter("classes > 1").select("bucket", "core", blocks(F.col("m_core"), F.col("n_core")).alias("cores"), blocks(F.col("m") - F.col("m_core"), F.col("n") - F.col("n_core")).alias("others"))
+    placed = mixed.join(sizes, "bucket").withColumn("inner", F.col("class") == F.col("core"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("cores")).otherwise(F.col("others"))).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("inner"), F.col("others")).otherwise(0) + own)
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("inner"), 0).otherwise(F.col("cores")) - 1)))
+    placed = placed.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "class", "block").join(texts, "node")
     # Few bytes, much work: as many tasks as the session's shuffles have, not as few as their size suggests.
     placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
-    return placed.groupBy("bucket", "i", "j").applyInPandas(run, "a binary, b binary").distinct()
+    return placed.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -271,24 +309,26 @@ def link_counts(members: DataFrame, texts: DataFrame, threshold: float) -> DataF
 def _classified(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All rows, their distinct sets, (node, class) of all sets with links, and (doc_id, key, text) of docs."""
     rows = checkpointed(signatures(docs, doc_id, text))
+    files = -(-rows.count() // PER_FILE)
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
     sets = usable.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.first(F.struct("n", "sig", "bands")).alias("x"))
-    sets = checkpointed(sets.select("node", "copies", "rep", "x.n", "x.sig", "x.bands"))
+    sets = checkpointed(sets.select("node", "copies", "rep", "x.n", "x.sig", "x.bands"), files)
     bands = sets.select("node", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).filter("m > 1")
-    shared = checkpointed(bands.join(buckets, "bucket"))
+    shared = checkpointed(bands.join(buckets, "bucket"), files)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
     star = shared.select(F.col("lo").alias("a"), F.col("node").alias("b")).union(shared.select("node", "hi")).filter("a <> b").distinct()
     best = _pruned(star, sets).groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a"))
-    classes = components(_linked(checkpointed(best), sets, texts, threshold))
+    classes = components(_linked(checkpointed(best, files), sets, texts, threshold, files))
 
-    # Buckets that still hold several classes; pairs of a pivot that were no node's best come up here again.
-    mixed = _with_class(shared.select("bucket", "node", "m"), classes, "node").withColumnRenamed("c_node", "class")
+    # The pivots leave links inside a bucket that no node's best pair shows; pairs of different classes are compared in full.
+    mixed = _with_class(shared.select("bucket", "node"), classes, "node").withColumnRenamed("c_node", "class").join(sets.select("node", "n"), "node")
     several = mixed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
-    mixed = mixed.join(several, "bucket").join(sets.select("node", "sig", "bands"), "node")
-    more = _linked(checkpointed(_across(mixed)), sets, texts, threshold)
-    return rows, sets, joined_classes(classes, more), texts
+    mixed = checkpointed(mixed.join(several, "bucket"), files)
+    wanted = _texts_of(mixed.select("node").distinct(), sets, texts).join(sets.select("node", "sig"), "node")
+    more = checkpointed(_across(mixed, wanted, threshold), files)
+    return rows, sets, joined_classes(classes, more, files), texts
 
 
 def _texts_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -297,9 +337,9 @@ def _texts_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return reps.join(texts, ["doc_id", "key"]).select("node", "text").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float, files: int) -> DataFrame:
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return checkpointed(_verified(pairs, _texts_of(involved, sets, texts), threshold))
+    return checkpointed(_verified(pairs, _texts_of(involved, sets, texts), threshold), files)
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
