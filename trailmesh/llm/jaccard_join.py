@@ -93,7 +93,7 @@ def surviving(a: np.ndarray, b: np.ndarray, least: np.ndarray) -> tuple[np.ndarr
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, key (hash of the text), n (shingles), node (128-bit hash of the set), sig and bands of every row."""
+    """doc_id, key (hash of the text), n (shingles), set (128-bit hash), sig and bands of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,11 +120,11 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     bands.append(band.view(np.int64).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(n, pa.int32()), pa.array(node, pa.binary()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "key", "n", "node", "sig", "bands"],
+                    ["doc_id", "key", "n", "set", "sig", "bands"],
                 )
 
     own = docs.select(F.col(doc_id), F.col(text), F.xxhash64(F.col(text)))
-    return own.mapInArrow(run, f"doc_id {kind}, key bigint, n int, node binary, sig binary, bands array<bigint>")
+    return own.mapInArrow(run, f"doc_id {kind}, key bigint, n int, set binary, sig binary, bands array<bigint>")
 
 
 def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(matches.astype(np.int32))], ["a", "b", "matches"])
 
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, matches int")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, matches int")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -153,7 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep)], ["a", "b"])
 
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def _across(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(-1, SIGNATURE)
         block = table["block"].to_numpy()
-        own = np.unique(np.array(table["class"].to_pylist(), "V16").view("S16"), return_inverse=True)[1]
+        own = np.unique(table["class"].to_numpy(), return_inverse=True)[1]
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         rows, cols = np.flatnonzero(block == i), np.flatnonzero(block == j)
         left, right = (x.ravel() for x in np.meshgrid(rows, cols, indexing="ij"))
@@ -255,7 +255,7 @@ def _across(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     placed = placed.select("bucket", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "class", "block").join(texts, "node")
     # Few bytes, much work: as many tasks as the session's shuffles have, not as few as their size suggests.
     placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
-    return placed.groupBy("bucket", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
+    return placed.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def common(sets: list[np.ndarray], rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -303,7 +303,7 @@ def link_counts(members: DataFrame, texts: DataFrame, threshold: float) -> DataF
     placed = placed.select("class", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "node", "block", "copies", "text")
     # Few bytes, much work: as many tasks as the session's shuffles have.
     placed = placed.repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "class", "i", "j")
-    return placed.groupBy("class", "i", "j").applyInArrow(run, "node binary, found bigint").groupBy("node").agg(F.sum("found").alias("found"))
+    return placed.groupBy("class", "i", "j").applyInArrow(run, "node bigint, found bigint").groupBy("node").agg(F.sum("found").alias("found"))
 
 
 def _classified(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -311,10 +311,16 @@ def _classified(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tu
     rows = checkpointed(signatures(docs, doc_id, text))
     files = -(-rows.count() // PER_FILE)
     usable = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    sets = usable.groupBy("node").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.first(F.struct("n", "sig", "bands")).alias("x"))
-    sets = checkpointed(sets.select("node", "copies", "rep", "x.n", "x.sig", "x.bands"), files)
+    sets = usable.groupBy("set").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "key")).alias("rep"), F.first(F.struct("n", "sig", "bands")).alias("x"))
+    # The numbers hold once they are written; which set gets which does not change the result.
+    sets = checkpointed(sets.select(F.monotonically_increasing_id().alias("node"), "set", "copies", "rep", "x.n", "x.sig", "x.bands"), files, last=True)
     bands = sets.select("node", F.explode("bands").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m")).filter("m > 1")
+    bands = bands.join(bands.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1"), "bucket")
+    bands = checkpointed(bands.select("bucket", "node"), files, last=True)
+    of_set = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    buckets = bands.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("m"), *of_set)
+    # Buckets that hold the same nodes ask the same; one of them is enough.
+    buckets = buckets.groupBy("m", "x0", "x1", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", "lo", "hi")
     shared = checkpointed(bands.join(buckets, "bucket"), files)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
@@ -327,7 +333,7 @@ def _classified(docs: DataFrame, doc_id: str, text: str, threshold: float) -> tu
     several = mixed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("bucket")
     mixed = checkpointed(mixed.join(several, "bucket"), files)
     wanted = _texts_of(mixed.select("node").distinct(), sets, texts).join(sets.select("node", "sig"), "node")
-    more = checkpointed(_across(mixed, wanted, threshold), files)
+    more = checkpointed(_across(mixed, wanted, threshold), files, last=True)
     return rows, sets, joined_classes(classes, more, files), texts
 
 
@@ -339,7 +345,7 @@ def _texts_of(nodes: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: float, files: int) -> DataFrame:
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    return checkpointed(_verified(pairs, _texts_of(involved, sets, texts), threshold), files)
+    return checkpointed(_verified(pairs, _texts_of(involved, sets, texts), threshold), files, last=True)
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -350,11 +356,11 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows, sets, classes, texts = _classified(docs, doc_id, text, threshold)
     members = sets.select("node", "n", "copies").join(classes, "node")
-    found = link_counts(members, _texts_of(classes.select("node"), sets, texts), threshold)
-    nodes = _with_class(sets.select("node", "copies", "rep.doc_id"), classes, "node").join(found, "node", "left")
+    found = checkpointed(link_counts(members, _texts_of(classes.select("node"), sets, texts), threshold), last=True)
+    nodes = _with_class(sets.select("node", "set", "copies", "rep.doc_id"), classes, "node").join(found, "node", "left")
     sizes = nodes.groupBy("c_node").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    nodes = nodes.join(sizes, "c_node").select("node", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
-    out = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "node").join(nodes, "node").select("doc_id", "class_id", "class_size", "n_links")
+    nodes = nodes.join(sizes, "c_node").select("set", "class_id", "class_size", (F.col("copies") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"))
+    out = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "set").join(nodes, "set").select("doc_id", "class_id", "class_size", "n_links")
     alone = rows.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), F.lit(0).cast("bigint").alias("n_links"))
     return out.unionByName(alone)
 
@@ -365,10 +371,10 @@ def keep_one_per_class(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     Rows without words or doc_id all stay; of repeated rows one stays.
     """
     rows, sets, classes, _ = _classified(docs, doc_id, text, threshold)
-    nodes = _with_class(sets.select("node", "rep"), classes, "node")
+    nodes = _with_class(sets.select("node", "set", "rep"), classes, "node")
     kept = nodes.groupBy("c_node").agg(F.min("rep").alias("kept"))
-    nodes = nodes.join(kept, "c_node").select("node", "kept")
-    own = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "node").join(nodes, "node")
+    nodes = nodes.join(kept, "c_node").select("set", "kept")
+    own = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "key", "set").join(nodes, "set")
     own = own.groupBy(F.col("doc_id").alias("__tm_id"), F.col("key").alias("__tm_key")).agg(F.max(F.struct("doc_id", "key") == F.col("kept")).alias("__tm_kept"), F.count("*").alias("__tm_rows"))
     out = checkpointed(own.filter("NOT __tm_kept OR __tm_rows > 1"))
     same = (F.col(doc_id) == F.col("__tm_id")) & (F.xxhash64(F.col(text)) == F.col("__tm_key"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -20,7 +21,15 @@ def shared_folder(spark) -> str:
     return where
 
 
-def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
-    """Cut the lineage in the shared folder, in at most ``files`` files."""
+def checkpointed(df: DataFrame, files: int | None = None, last: bool = False) -> DataFrame:
+    """Cut the lineage in the shared folder, in at most ``files`` files.
+
+    With ``last``, shuffle files that only the cut lineage used are given up at once
+    and not when the driver happens to collect its garbage: they hold whole texts.
+    """
     shared_folder(df.sparkSession)
-    return (df.coalesce(max(1, files)) if files is not None else df).checkpoint()
+    out = (df.coalesce(max(1, files)) if files is not None else df).checkpoint()
+    if last:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
