@@ -20,6 +20,7 @@ repeated rows count and are scored each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from trailmesh.llm import np_text as T
 from trailmesh.llm.lineage import checkpointed
 
 LEAST, DEALT = 2, 300_000
+#: Batches are asked for and scored in so many rounds; the shuffle files of a round go before the next.
+ROUNDS = 3
 MAX_WORDS, MAX_PAIRS = 1 << 20, 1 << 21
 BROADCAST_IDS = 2_000_000
 #: Tokens that a task holds before it hands on their counts; keys leave their lowest bit free.
@@ -145,7 +148,7 @@ def _arrays(kept: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_models(docs: DataFrame, weight: float = 0.7) -> tuple[MatchedModels, DataFrame]:
     """Models of docs(_target, _text) with the heads of their tables, at most MAX_WORDS + MAX_PAIRS rows, and all other entries."""
-    counts = checkpointed(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)))
+    counts = checkpointed(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)), last=True)
     sums = {r["size"]: r for r in counts.groupBy("size").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect()}
     total, target = (int(sums[0]["n"]), int(sums[0]["t"])) if 0 in sums else (0, 0)
     size, known, marked = (int(sums[1]["rows"]), int(sums[1]["n"]), int(sums[1]["t"])) if 1 in sums else (0, 0, 0)
@@ -216,9 +219,12 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_i
         done = [x for batch in docs.combine_chunks().to_batches() for x in measure(batch, words, pairs)]
         return pa.Table.from_batches(done) if done else pa.table({n: pa.array([], t) for n, t in zip(names, [docs.schema.field(0).type, pa.int64(), *[pa.float64()] * 3], strict=True)})
 
-    asked = dealt.groupBy("deal").applyInArrow(ask, "deal int, size int, key bigint")
-    found = asked.join(others, ["size", "key"]).select("deal", "size", "key", "n", "n_target")
-    return dealt.groupBy("deal").cogroup(found.groupBy("deal")).applyInArrow(answer, scores)
+    def scored(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("deal").applyInArrow(ask, "deal int, size int, key bigint")
+        found = asked.join(others, ["size", "key"]).select("deal", "size", "key", "n", "n_target")
+        return checkpointed(some.groupBy("deal").cogroup(found.groupBy("deal")).applyInArrow(answer, scores), last=True)
+
+    return reduce(DataFrame.unionByName, [scored(dealt.filter(F.col("deal") % ROUNDS == r)) for r in range(ROUNDS)])
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
