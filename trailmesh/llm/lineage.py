@@ -30,6 +30,11 @@ def checkpointed(df: DataFrame, files: int | None = None, last: bool = False) ->
     shared_folder(df.sparkSession)
     out = (df.coalesce(max(1, files)) if files is not None else df).checkpoint()
     if last:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        released(df.sparkSession)
     return out
+
+
+def released(spark) -> None:
+    """Give up the shuffle files of all data frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
