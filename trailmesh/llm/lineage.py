@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame
 
@@ -37,4 +38,5 @@ def checkpointed(df: DataFrame, files: int | None = None, last: bool = False) ->
 def released(spark) -> None:
     """Give up the shuffle files of all data frames that nothing refers to any more."""
     gc.collect()
+    time.sleep(2)  # Python's references are given back in the background
     spark.sparkContext._jvm.System.gc()
