@@ -2,9 +2,9 @@
 
 All rolling word 2-gram hashes of all texts are joined with the template positions
 (a fixed, small table, so it is broadcast). Hits are counted by document, template and
-diagonal (document position minus template position), neighbouring diagonals are
-merged, and the words of the resulting spans are verified in the text, which is read
-again for documents with such spans only. Base phrases are single full diagonals.
+diagonal (document position minus template position), every diagonal is merged with
+its neighbours, and the words of the resulting spans are verified in the text, place
+by place, which is read again for documents with such spans only. Base phrases are single full diagonals.
 
 Defined cases: null or wordless text has no words and no places; repeated rows get
 the same result each; an empty table gives an empty result; extra columns are ignored.
@@ -27,6 +27,11 @@ NOTICES = {
     "released under the mit license": "mit-notice",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit-text",
+    "mozilla public license v 2 0": "mpl-2.0",
+    "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
+    "bsd 3 clause license": "bsd-3-clause",
+    "creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0",
 }
 SLACK, SHARE = 2, 0.8
 
@@ -55,25 +60,24 @@ def find_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     own = votes.filter(F.col("tid").isNull()).select("doc_id", "_key", F.col("n_words").cast("long").alias("n_words"), F.col("rows").alias("copies"))
 
     exact = votes.filter(F.col("tid").isNotNull())
-    full = exact.filter("base AND votes = size - 1").select("doc_id", "_key", "tid", F.col("diagonal").alias("start"))
-    beside = W.partitionBy("doc_id", "_key", "tid").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(beside) > slack).cast("int"), F.lit(0))
-    merged = exact.filter("NOT base").withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(beside))
-    merged = merged.groupBy("doc_id", "_key", "tid", "size", "_run").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"))
-    merged = merged.filter(F.col("votes") >= (F.col("size") - 1) * share / 2).select("doc_id", "_key", "tid", F.greatest("start", F.lit(0)).alias("start"))
-    spans = full.unionByName(merged).groupBy("doc_id", "_key").agg(F.collect_list(F.struct("tid", "start")).alias("spans"))
+    full = exact.filter("base AND votes = size - 1").select("doc_id", "_key", "tid", F.col("diagonal").alias("start"), F.array("diagonal").alias("diagonals"))
+    # A diagonal stands with its neighbours; the one with most votes of them (the first of a tie) names the place.
+    beside = W.partitionBy("doc_id", "_key", "tid").orderBy("diagonal").rangeBetween(-slack, slack)
+    merged = exact.filter("NOT base").withColumn("around", F.collect_list(F.struct("votes", "diagonal")).over(beside)).withColumn("together", F.sum("votes").over(beside))
+    better = F.exists("around", lambda x: (x["votes"] > F.col("votes")) | (x["votes"] == F.col("votes")) & (x["diagonal"] < F.col("diagonal")))
+    merged = merged.filter((F.col("together") >= (F.col("size") - 1) * share / 2) & ~better)
+    merged = merged.select("doc_id", "_key", "tid", F.col("diagonal").alias("start"), F.col("around")["diagonal"].alias("diagonals"))
+    spans = full.unionByName(merged).groupBy("doc_id", "_key").agg(F.collect_list(F.struct("tid", "start", "diagonals")).alias("spans"))
 
     t, s = texts.alias("t"), spans.alias("s")
     same = F.col("t.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("t._key") == F.col("s._key"))
     again = t.join(s, same).select("s.doc_id", "s._key", words_of(F.col("t._text")).alias("_w"), "s.spans").select("doc_id", "_key", "_w", F.explode("spans").alias("x"))
     again = again.join(F.broadcast(known), F.col("x.tid") == F.col("tid"))
-    # A merged span may hold up to `slack` more words than its template.
-    size = F.size("words") + F.when(F.col("base"), 0).otherwise(slack)
-    again = again.select("doc_id", "_key", "x.start", "tid", "label", "base", "words", F.slice("_w", F.col("x.start") + 1, size).alias("got"))
-    score = F.when(F.col("base"), (F.col("got") == F.col("words")).cast("double")).otherwise(
-        F.size(F.array_intersect("words", "got")) / F.size(F.array_distinct("words"))
-    )
-    proven = again.withColumn("score", score).filter(F.col("score") >= F.when(F.col("base"), 1.0).otherwise(share))
+    # Words of the template, in its order, that stand in the text on one of the merged diagonals.
+    there = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.exists("x.diagonals", lambda d: F.coalesce(F.get("_w", d + i) == F.get("words", i), F.lit(False))))
+    score = F.size(there) / F.size("words")
+    again = again.select("doc_id", "_key", F.greatest("x.start", F.lit(0)).alias("start"), "tid", "label", "base", score.alias("score"))
+    proven = again.filter(F.col("score") >= F.when(F.col("base"), 1.0).otherwise(share))
     places = proven.groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set(F.struct("start", "tid", "label", "base", "score"))).alias("places"))
     o, p = own.alias("o"), places.alias("p")
     same = F.col("o.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("o._key") == F.col("p._key"))
