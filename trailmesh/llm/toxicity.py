@@ -5,12 +5,11 @@ most ``max_rows`` labelled documents outside the held-out fold; near copies coun
 per minimum hash of their word pairs. A word of a text is matched by running its
 Levenshtein automaton (distance 1 for terms of at least ``FUZZY_FROM`` letters) along
 the trie; each distinct word runs once per worker. A document's hits, how often they
-stand in a window with another hit, and how often between quotation marks, feed a
-logistic regression fitted on the same rows.
+stand in a window with another hit, and how often within a quotation that opens and
+closes in the window around them, feed a logistic regression fitted on the same rows.
 
 Defined cases: null and empty texts have no hits and get the score of the intercept;
-without labels nothing is learned and every score is 0.5 x prior of no hits (0.0);
-extra columns are ignored; repeated rows are all scored; a null doc_id is not held out.
+without labels nothing is learned and every score is 0.0; extra columns are ignored; repeated rows are all scored; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -25,12 +24,12 @@ from pyspark.sql import functions as F
 
 from trailmesh.llm import np_text as T
 
-MAX_ROWS, MAX_TERMS, FUZZY_FROM, CONTEXT = 8_000, 4_000, 5, 12
+MAX_ROWS, FUZZY_FROM, CONTEXT = 8_000, 5, 12
 STEMS = (4, 5, 6)
 WORD_CACHE = 1_000_000
-QUOTES = np.zeros(256, bool)
-#: Bytes of " ' ` and of the UTF-8 forms of other quotation marks.
-QUOTES[[0x22, 0x27, 0x60, 0xAB, 0xBB]] = True
+#: Opening quotation marks with those that close them, and signs that are no part of a word.
+QUOTES = {'"': '"', "“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "‘": "’", "「": "」", "『": "』"}
+SIGNS = "".join({*QUOTES, *"".join(QUOTES.values())}) + "".join(map(chr, range(0x2010, 0x2028))) + "…‼⁇⁉¡¿·、。！？"
 
 
 class LexiconAutomaton:
@@ -119,6 +118,23 @@ class LexiconAutomaton:
         return self.accepts[state]
 
 
+def in_quotation(left: str, right: str) -> bool:
+    """Whether a quotation that opens in left, the words before, closes in right, the words after."""
+    if left[-1:] in ("'", "`") and right[:1] in ("'", "`"):
+        return True
+    for start, ends in QUOTES.items():
+        if start in ends:
+            if left.count(start) % 2 and start in right:
+                return True
+        elif left.rfind(start) > max(left.rfind(e) for e in ends) and any(e in right for e in ends):
+            return True
+    return False
+
+
+def _text(buf: np.ndarray, a: int, b: int) -> str:
+    return buf[a:b].tobytes().decode("utf-8", "ignore")
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -134,7 +150,7 @@ def _training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.join(own, docs["_id"] == F.col("_l")).select("toxic", "_text")
 
 
-def learn_terms(training: DataFrame, max_terms: int = MAX_TERMS, min_docs: int = 5, min_odds: float = 3.0) -> list[tuple[str, bool, float]]:
+def learn_terms(training: DataFrame, min_docs: int = 5, min_odds: float = 3.0) -> list[tuple[str, bool, float]]:
     """The terms (word or stem, is stem, log odds) that mark toxic rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +165,7 @@ def learn_terms(training: DataFrame, max_terms: int = MAX_TERMS, min_docs: int =
                 pairs = T.mix(hashes[a:b] * np.uint64(3) + np.append(hashes[a + 1 : b], np.uint64(0)))
                 sketch = int(pairs.min() >> np.uint64(1))
                 words = {_word(buf, s, e) for s, e in zip(starts[a:b][np.unique(hashes[a:b], return_index=True)[1]], ends[a:b][np.unique(hashes[a:b], return_index=True)[1]], strict=True)}
-                words = {w for w in words if len(w) >= 3}
+                words = {w for w in (w.strip(SIGNS) for w in words) if len(w) >= 3}
                 rows = [(w, False, w) for w in words] + [(w[:n], True, w) for w in words for n in STEMS if len(w) > n]
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -165,7 +181,7 @@ def learn_terms(training: DataFrame, max_terms: int = MAX_TERMS, min_docs: int =
     )
     odds = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5))
     seen = seen.withColumn("odds", odds).filter((F.col("bad") >= min_docs) & (F.col("odds") >= min_odds) & (~F.col("stem") | (F.col("words") >= 5)))
-    rows = seen.orderBy(F.desc(F.col("odds") * F.col("bad")), "term", "stem").limit(max_terms).collect()
+    rows = seen.orderBy(F.desc(F.col("odds") * F.col("bad")), "term", "stem").collect()  # of max_rows rows
     return [(r["term"], r["stem"], float(r["odds"])) for r in rows]
 
 
@@ -185,8 +201,7 @@ def hit_features(texts: pa.Array, trie: LexiconAutomaton, known: dict[int, tuple
     for k, (h, w) in enumerate(zip(distinct.tolist(), where.tolist(), strict=True)):
         got = known.get(h)
         if got is None:
-            size = ends[w] - starts[w]
-            got = known[h] = trie.match(_word(buf, starts[w], ends[w])) if 3 <= size <= 200 else (-1, 0)
+            got = known[h] = trie.match(_word(buf, starts[w], ends[w]).strip(SIGNS))
         if got[0] >= 0:
             terms[k], dists[k] = got
     hits = np.flatnonzero(terms[inverse] >= 0)
@@ -196,7 +211,13 @@ def hit_features(texts: pa.Array, trie: LexiconAutomaton, known: dict[int, tuple
         d, w = dists[inverse[own]], weights[terms[inverse[own]]]
         near = np.diff(own) <= CONTEXT
         clustered = np.count_nonzero(np.append(near, False) | np.insert(near, 0, False))
-        quoted = sum(bool(QUOTES[buf[max(0, starts[j] - 3) : starts[j]]].any() and QUOTES[buf[ends[j] : ends[j] + 3]].any()) for j in own.tolist())
+        quoted = 0
+        for j in own.tolist():
+            before, after = starts[max(first[i], j - CONTEXT)], ends[min(first[i + 1] - 1, j + CONTEXT)]
+            word = _text(buf, starts[j], ends[j])
+            lead, trail = len(word) - len(word.lstrip(SIGNS)), len(word) - len(word.rstrip(SIGNS))
+            outside = max(bounds[i], before - 4), min(bounds[i + 1], after + 4)
+            quoted += in_quotation(_text(buf, outside[0], starts[j]) + word[:lead], word[len(word) - trail :] + _text(buf, ends[j], outside[1]))
         exact = d == 0
         out[i, 1:] = [
             math.log1p(exact.sum()), math.log1p((~exact).sum()), w[exact].max(initial=0) / 5, w[~exact].max(initial=0) / 5,
