@@ -51,6 +51,9 @@ NEW_LETTERS = [
     (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
 ]
 NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Capital letters that Unicode 16 and 17 add (first, last, first of their small letters).
+NEW_CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB)]
+TO_SMALL = {c: c - a + small for a, b, small in NEW_CAPITALS for c in range(a, b + 1)}
 
 
 def _ranges(codes: list[int]) -> str:
@@ -106,6 +109,7 @@ class TokenizationAutomaton:
         self._bytes = byte_labels()
         split = next(p for p in own["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self._split = re.compile(_with_classes(split))
+        self._capital = re.compile("[" + "".join(map(chr, TO_SMALL)) + "]")
         self._cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def has_arc(self, t: int, u: int, before: int | None = None) -> bool:
@@ -174,6 +178,8 @@ class TokenizationAutomaton:
         for piece in self._pieces(text):
             s = unicodedata.normalize("NFC", piece)
             s = "".join([c.lower() for c in s]) if "Σ" in s else s.lower()
+            if self._capital.search(s):
+                s = s.translate(TO_SMALL)
             found = self._split.findall(s)
             new = set(found).difference(words)
             if len(words) + len(new) > WORD_CACHE:
