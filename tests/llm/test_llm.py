@@ -388,3 +388,51 @@ def test_pii_numbers_and_mailish_are_found(spark):
         assert ("number", f"555-123-{1000 + i}") in got[i]
         assert ("mailish", f"name{i} (at) host{i}.com") in got[i]
     assert ("phone", "+1 (269) 555-3296") in got[100] and got[102] == [] and got[103] == []
+
+
+def test_license_notices_on_neighbouring_diagonals(spark):
+    rows = [
+        (1, "licensed under licensed under licensed under cc by nc 4 0"),
+        (2, "Licensed under the really Apache License, Version 2.0"),
+        (3, "0 2 version license apache the under licensed"),
+        (4, "covered by the GNU Affero General Public License and the Mozilla Public License v. 2.0"),
+        (None, "mit license"),
+    ]
+    got = {r.doc_id: {(p.start, p.label) for p in r.places} for r in licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == {(4, "cc-by-nc-4.0"), (6, "cc-by")} and (0, "apache-2.0") in {(p[0] - p[0] % 2, p[1]) for p in got[2]}
+    assert got[3] == set() and {"agpl", "mpl-2.0"} <= {p[1] for p in got[4]} and got[None] == {(0, "mit")}
+
+
+def test_quotations_in_several_scripts():
+    quoted = ['he said "you moron x" then', "er rief „du moron“ laut", "“moron” she said", "«вы moron» сказал", "「moron」 と", "the 'moron' word", "l'‹moron› là"]
+    open_ = ["û moron ë", "лл moron лл", 'a "word" and moron and', "don't moron it's", "moron", 'moron "later quoted" here', "ends” moron “starts"]
+    trie = toxicity.LexiconAutomaton([("moron", False, 2.0)])
+    for texts_, want in ((quoted, 1.0), (open_, 0.0)):
+        x = toxicity.hit_features(pa.array(texts_), trie, {})
+        assert (x[:, 1] > 0).all() and x[:, 7].tolist() == [want] * len(texts_)
+
+
+def test_long_words_match_stems():
+    trie = toxicity.LexiconAutomaton([("lowei", True, 3.0)])
+    assert toxicity.hit_features(pa.array(["lowei" + "x" * 500, "x" * 500, None]), trie, {})[:, 1].tolist() == [math.log1p(1), 0.0, 0.0]
+
+
+def test_bpe_equals_library_on_all_letters():
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    own, lib = bpe.TokenizationAutomaton(bpe.default_spec()), tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"a{chr(c)}b {chr(c)}1" for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000)
+    assert np.concatenate(list(own.encode(text))).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_jaccard_rows_that_share_a_doc_id(spark):
+    rng = random.Random(6)
+    one, two = ([f"w{rng.getrandbits(30)}" for _ in range(90)] for _ in range(2))
+    near = [*one[:-1], "end"]
+    rows = [(1, " ".join(one)), (2, " ".join(near)), (2, " ".join(two)), (3, None), (None, " ".join(one)), (1, " ".join(one)), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id, r.class_size, r.n_links) for r in jaccard_join.jaccard_classes(df).collect()), key=str)
+    assert got == sorted([(1, 1, 3, 2), (1, 1, 3, 2), (2, 1, 3, 2), (2, 2, 1, 0), (3, 3, 1, 0), (None, None, 1, 0), (4, 4, 1, 0)], key=str)
+    left = sorted(((r.doc_id, r.text) for r in jaccard_join.keep_one_per_class(df).collect()), key=str)
+    assert left == sorted([rows[0], rows[2], rows[3], rows[4], rows[6]], key=str)
