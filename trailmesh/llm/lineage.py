@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import time
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -35,6 +36,18 @@ def checkpointed(df: DataFrame, files: int | None = None, last: bool = False) ->
     return out
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, smaller than a checkpoint, and its path; the caller removes it."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def released(spark) -> None:
     """Give up the shuffle files of all data frames that nothing refers to any more."""
     gc.collect()

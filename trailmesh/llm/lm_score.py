@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmesh.llm import np_text as T
-from trailmesh.llm.lineage import checkpointed, released
+from trailmesh.llm.lineage import checkpointed, released, removed, written
 
 LEAST, DEALT = 2, 300_000
 #: Batches are asked for and scored in so many rounds; the shuffle files of a round go before the next.
-ROUNDS = 3
+ROUNDS = 6
 MAX_WORDS, MAX_PAIRS = 1 << 20, 1 << 21
 BROADCAST_IDS = 2_000_000
 #: Tokens that a task holds before it hands on their counts; keys leave their lowest bit free.
@@ -146,16 +146,16 @@ def _arrays(kept: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kept.column("key").to_numpy().view(np.uint64), kept.column("n").to_numpy(), kept.column("n_target").to_numpy()
 
 
-def fit_models(docs: DataFrame, weight: float = 0.7) -> tuple[MatchedModels, DataFrame]:
-    """Models of docs(_target, _text) with the heads of their tables, at most MAX_WORDS + MAX_PAIRS rows, and all other entries."""
-    counts = checkpointed(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)))
+def fit_models(docs: DataFrame, weight: float = 0.7) -> tuple[MatchedModels, DataFrame, str]:
+    """Models of docs(_target, _text) with the heads of their tables, at most MAX_WORDS + MAX_PAIRS rows, all other entries, and the path of their table."""
+    counts, path = written(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)))
     sums = {r["size"]: r for r in counts.groupBy("size").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect()}
     total, target = (int(sums[0]["n"]), int(sums[0]["t"])) if 0 in sums else (0, 0)
     size, known, marked = (int(sums[1]["rows"]), int(sums[1]["n"]), int(sums[1]["t"])) if 1 in sums else (0, 0, 0)
     counts = counts.filter("size > 0").withColumn("n_target", F.col("n_target" if target else "n"))
     head = F.col("n") >= F.when(F.col("size") == 1, -(-total // MAX_WORDS)).otherwise(-(-total // MAX_PAIRS))
     tables = [_arrays(counts.filter((F.col("size") == size_) & head).select("key", "n", "n_target").toArrow()) for size_ in (1, 2)]
-    return MatchedModels(*tables, (total, target or total), (known, marked if target else known), size, weight), counts.filter(~head)
+    return MatchedModels(*tables, (total, target or total), (known, marked if target else known), size, weight), counts.filter(~head), path
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,7 +168,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_i
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     own = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     marked = own.join(ids, F.col("_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().alias("_target"), "_text")
-    models, others = fit_models(marked)
+    models, others, path = fit_models(marked)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     kind = docs.schema[doc_id].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ce_target", "ce_background", "ce_difference"]
@@ -192,6 +192,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_i
         return Table(key[own], n[own], target[own])
 
     if others.isEmpty():
+        removed(docs.sparkSession, path)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = Table(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -228,6 +229,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_i
     for r in range(ROUNDS):
         released(docs.sparkSession)
         done.append(scored(dealt.filter(F.col("deal") % ROUNDS == r)))
+    removed(docs.sparkSession, path)
     return reduce(DataFrame.unionByName, done)
 
 
