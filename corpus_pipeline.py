@@ -15,6 +15,7 @@ from trailmesh.llm.bpe import default_spec, token_digests
 from trailmesh.llm.decontaminate import decontaminate
 from trailmesh.llm.exact_dedup import drop_exact_copies
 from trailmesh.llm.jaccard_join import keep_one_per_class
+from trailmesh.llm.lineage import shared_folder
 from trailmesh.llm.quality import keep_good
 
 
@@ -46,8 +47,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; intermediate tables go to the shared folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    where = f"{where.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
