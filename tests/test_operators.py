@@ -106,3 +106,33 @@ def test_mot_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(pd.DataFrame({"frame": [2, 1], "id": [1, 2], "x": [0.5, 1], "y": [0.0, 1], "w": [1.0, 2], "h": [1.0, 2], "conf": [1.0, 0.5]}))
     frames.write_mot(rows, str(tmp_path / "m"))
     assert sorted((r.frame, r.id, r.a) for r in frames.read_mot(spark, str(tmp_path / "m")).collect()) == [(1, 2, -1.0), (2, 1, -1.0)]
+
+
+def test_spans_are_kept_by_camera():
+    e = Associator(Config(window_ms=10))
+    v = np.array([1.0, 0.0])
+    first = e.round([dict(cam="a", tid=0, start=0, end=100, vec=v)])[0][0]
+    for k in range(1, 10):
+        assert e.round([dict(cam=f"c{k}", tid=k, start=200 * k, end=200 * k + 9, vec=v)])[0][0] == first
+    assert e.round([dict(cam="a", tid=10, start=50, end=120, vec=v)])[0][0] != first
+
+
+def test_tracklets_without_vectors_found_identities():
+    e = Associator(Config())
+    none, v = dict(cam="a", tid=0, start=0, end=1, vec=None), np.array([1.0, 0.0])
+    one = e.round([none])[0]
+    two = e.round([dict(cam="b", tid=1, start=2, end=3, vec=v)])[0]
+    assert one[0] != two[0] and e.round([dict(cam="c", tid=2, start=4, end=5, vec=v)])[0][0] == two[0]
+
+
+def test_match_groups_over_many_frames(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(f), int(a), int(b), float(rng.random().__round__(3))) for f in range(40) for a in range(3) for b in range(3) if rng.random() < 0.6]
+    df = spark.createDataFrame(rows, "f int, l int, r int, s double").repartition(3)
+    got = match_groups(df, ["f"], "l", "r", "s", 0.2).toPandas()
+    total = got.groupby("f")["s"].sum()
+    for f in range(40):
+        own = {(a, b): s for g, a, b, s in rows if g == f}
+        best = max(tuple(own.get((a, p[a]), 0.0) for a in range(3)) for p in sorted(permutations(range(3)), key=lambda p: sum(own.get((a, p[a]), 0.0) for a in range(3)))[-1:])
+        assert abs(sum(s for s in best if s >= 0.2) - total.get(f, 0.0)) < 1e-9
+    assert match_groups(df.limit(0), ["f"], "l", "r", "s", 0.2).count() == 0

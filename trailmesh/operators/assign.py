@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -46,13 +49,33 @@ def match_groups(pairs: DataFrame, keys: list[str], left: str, right: str, score
     """
     schema = ", ".join(f"{c} {t}" for c, t in pairs.select(*keys, left, right, score).dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if gate_first:
-            pdf = pdf[pdf[score] >= least]
-        rows, cols = pd.factorize(pdf[left], sort=True), pd.factorize(pdf[right], sort=True)
-        value = np.zeros((len(rows[1]), len(cols[1])))
-        value[rows[0], cols[0]] = pdf[score].to_numpy() + gate_first
-        keep = {(r, c) for r, c in hungarian(-value) if value[r, c] - gate_first >= least}
-        return pdf[[(r, c) in keep for r, c in zip(rows[0], cols[0], strict=True)]]
+    def solved(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        good = np.zeros(len(pdf), bool)
+        lefts, rights, scores = pdf[left].to_numpy(), pdf[right].to_numpy(), pdf[score].to_numpy()
+        for a, b in zip(starts.tolist(), np.append(starts, len(pdf))[1:].tolist(), strict=True):
+            rows, cols = pd.factorize(lefts[a:b], sort=True), pd.factorize(rights[a:b], sort=True)
+            if len(rows[1]) == len(cols[1]) == b - a:  # nothing competes
+                good[a:b] = scores[a:b] >= least
+                continue
+            value = np.zeros((len(rows[1]), len(cols[1])))
+            value[rows[0], cols[0]] = scores[a:b] + gate_first
+            keep = {(r, c) for r, c in hungarian(-value) if value[r, c] - gate_first >= least}
+            good[a:b] = [(r, c) in keep for r, c in zip(rows[0], cols[0], strict=True)]
+        return pdf[good]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            if len(pdf):
+                own, before = pdf[keys], pdf[keys].shift()
+                starts = np.flatnonzero(~((own == before) | (own.isna() & before.isna())).all(axis=1) | (np.arange(len(pdf)) == 0))
+                yield solved(pdf.iloc[: starts[-1]], starts[:-1])
+                held = pdf.iloc[starts[-1] :]  # its group may go on
+        if held is not None:
+            yield solved(held, np.zeros(1, int))
 
-    return pairs.select(*keys, left, right, score).groupBy(*keys).applyInPandas(run, schema)
+    rows = pairs.select(*keys, left, right, score)
+    rows = rows.filter(F.col(score) >= least) if gate_first else rows
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame
 from trailmesh.operators.assign import hungarian
 
 
+#: Spans that an identity keeps of each camera.
+SPANS = 8
+
+
 @dataclass
 class Config:
     max_cost: float = 0.5
@@ -34,7 +38,8 @@ class Config:
 @dataclass
 class Identity:
     gid: int
-    centroid: np.ndarray
+    #: None until a tracklet with a vector joins.
+    centroid: np.ndarray | None
     last_cam: str
     last_seen: int
     spans: list[tuple[str, int, int]]
@@ -59,7 +64,7 @@ class Associator:
         c = self.config
         if any(cam == t["cam"] and a <= t["end"] + c.slack_ms and t["start"] <= b + c.slack_ms for cam, a, b in track.spans):
             return np.inf
-        if t["vec"] is None or not transit_ok(c, track.last_cam, t["cam"], t["start"] - track.last_seen):
+        if t["vec"] is None or track.centroid is None or not transit_ok(c, track.last_cam, t["cam"], t["start"] - track.last_seen):
             return np.inf
         return float(1 - t["vec"] @ track.centroid)
 
@@ -88,9 +93,13 @@ class Associator:
         return [out[i] for i in range(len(tracklets))]
 
     def _absorb(self, track: Identity, t: dict) -> None:
-        mean = (1 - self.config.ema) * track.centroid + self.config.ema * t["vec"]
-        track.centroid = mean / max(np.linalg.norm(mean), 1e-12)
-        track.spans = sorted([*track.spans, (t["cam"], t["start"], t["end"])], key=lambda s: s[1])[-8:]
+        if track.centroid is None:
+            track.centroid = t["vec"]
+        elif t["vec"] is not None:
+            mean = (1 - self.config.ema) * track.centroid + self.config.ema * t["vec"]
+            track.centroid = mean / max(np.linalg.norm(mean), 1e-12)
+        own = sorted([*(s for s in track.spans if s[0] == t["cam"]), (t["cam"], t["start"], t["end"])], key=lambda s: s[1])
+        track.spans = [s for s in track.spans if s[0] != t["cam"]] + own[-SPANS:]
         if t["end"] >= track.last_seen:
             track.last_seen, track.last_cam = t["end"], t["cam"]
 
@@ -120,6 +129,7 @@ def associate_offline(tracklets: DataFrame, config: Config, site: str = "site")
         for part in rounds(pdf, config.window_ms):
             rows = [dict(cam=r.cam, tid=r.tid, start=r.start, end=r.end, vec=None if r.vec is None else np.asarray(r.vec, float)) for r in part.itertuples()]
             out += [(getattr(r, site), r.tid, *a) for r, a in zip(part.itertuples(), engine.round(rows), strict=True)]
+            engine.prune(int(part["end"].max()))
         return pd.DataFrame(out, columns=[site, "tid", "gid", "cost", "reason"])
 
     kinds = dict(tracklets.dtypes)

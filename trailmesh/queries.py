@@ -91,7 +91,7 @@ def gallery_similarity_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _embeddings(spark, sf_dir).withColumn("rn", F.row_number().over(W.partitionBy("label").orderBy("vec_id")))
     gallery = e.filter("rn <= 8").groupBy("label").agg(F.collect_list("embedding").alias("entries"))
     best = F.array_max(F.transform("entries", lambda g: V.dot(F.col("embedding"), g)))
-    return e.select("vec_id", "label", "embedding").join(F.broadcast(gallery), "label").select("vec_id", F.round(best, 6).alias("similarity"))
+    return e.select("vec_id", "label", "embedding").join(gallery, "label").select("vec_id", F.round(best, 6).alias("similarity"))
 
 
 def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def offline_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = temporal.sessionize(_events(spark, sf_dir), ["cam", "user_id"], "t", 86_400_000_000, ["event_id"])
     s = e.groupBy("cam", "user_id", "seq").agg((F.min("t") / 1000).cast("bigint").alias("start"), (F.max("t") / 1000).cast("bigint").alias("end"), F.min("event_id").alias("tid"))
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))
-    s = s.join(vectors, F.col("user_id") % 500 == F.col("_v")).withColumn("site", F.col("user_id") % 16)
+    s = s.join(vectors, F.col("user_id") % 500 == F.col("_v"), "left").withColumn("site", F.col("user_id") % 16)
     found = association.associate_offline(s, association.Config(window_ms=3_600_000, ttl_ms=10**12))
     return found.select("site", "tid", "gid", F.round("cost", 6).alias("cost"), "reason")
 
