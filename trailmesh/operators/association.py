@@ -62,7 +62,7 @@ class Associator:
     def cost(self, t: dict, track: Identity) -> float:
         """1 - similarity, or infinity for a pair that a rule forbids."""
         c = self.config
-        if any(cam == t["cam"] and a <= t["end"] + c.slack_ms and t["start"] <= b + c.slack_ms for cam, a, b in track.spans):
+        if t["start"] <= track.last_seen + c.slack_ms and any(cam == t["cam"] and a <= t["end"] + c.slack_ms and t["start"] <= b + c.slack_ms for cam, a, b in track.spans):
             return np.inf
         if t["vec"] is None or track.centroid is None or not transit_ok(c, track.last_cam, t["cam"], t["start"] - track.last_seen):
             return np.inf
