@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from trailmesh.llm import np_text as T
 from trailmesh.llm.lineage import checkpointed, released, removed, written
 
-LEAST, DEALT = 2, 300_000
+LEAST, DEALT = 2, 400_000
 #: Batches are asked for and scored in so many rounds; the shuffle files of a round go before the next.
-ROUNDS = 6
+ROUNDS = 3
 MAX_WORDS, MAX_PAIRS = 1 << 20, 1 << 21
 BROADCAST_IDS = 2_000_000
 #: Tokens that a task holds before it hands on their counts; keys leave their lowest bit free.
