@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trailmesh import evaluation_queries
 from trailmesh.functions import geometry as G
 from trailmesh.functions import vectors as V
 from trailmesh.operators import assign, association, pooling, temporal
@@ -148,3 +149,5 @@ SELECT label, dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v
 SELECT a.vec_id, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity
 FROM embeddings a JOIN k b ON a.label = b.label AND b.rn <= 8 GROUP BY a.vec_id""",
 }
+QUERIES |= evaluation_queries.QUERIES
+ORACLE_SQL |= evaluation_queries.ORACLE_SQL
