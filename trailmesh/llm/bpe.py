@@ -6,7 +6,8 @@ after a and adds an arc c to every state that had a followed by b. The state aft
 token is a snapshot, at the token's rank, of the state after its right part; the
 automaton therefore is kept as a log of gadgets (parts, ranks, removed arcs), and an
 arc is materialised into the transition table when it is first asked for. A pre-split
-word has exactly one accepted path; it is found left to right from table look-ups.
+word has exactly one accepted path; it is found left to right: the labels' own automaton
+(a trie with failure links) names the arcs that may end after each byte, longest first.
 Decoding emits the labels of the arcs.
 
 Text is treated as the vocabulary's file says: special tokens are cut out first, the
@@ -68,15 +69,15 @@ def _ranges(codes: list[int]) -> str:
     return "".join(out)
 
 
-def _with_classes(pattern: str) -> str:
-    """The pattern with \\p{L}, \\p{N} and \\s spelt out, for the standard library's matcher."""
+def _with_classes(pattern: str, most: int = sys.maxunicode) -> str:
+    """The pattern with \\p{L}, \\p{N} and \\s spelt out up to a code point, for the standard library's matcher."""
     by: dict[str, list[int]] = {"L": [], "N": []}
-    for c in range(sys.maxunicode + 1):
+    for c in range(most + 1):
         kind = unicodedata.category(chr(c))[0]
         if kind in by:
             by[kind].append(c)
     for kind, new in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)):
-        by[kind] = sorted({*by[kind], *(c for a, b in new for c in range(a, b + 1))})
+        by[kind] = sorted({*by[kind], *(c for a, b in new for c in range(a, b + 1) if c <= most)})
     blank = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
     return pattern.replace(r"\p{L}", _ranges(by["L"])).replace("[" + r"\p{N}" + "]", "[" + _ranges(by["N"]) + "]").replace(r"\p{N}", _ranges(by["N"])).replace(r"\s", blank)
 
@@ -93,9 +94,13 @@ class TokenizationAutomaton:
         for label, i in [*vocab.items(), *self.special.items()]:
             self.labels[i] = label.encode()
         n = len(self.end)
-        self.inner = {t: i for t, i in vocab.items() if not (n and t.endswith(self.end) and len(t) > n)}
-        self.final = {t[:-n]: i for t, i in vocab.items() if t.endswith(self.end) and len(t) > n} if n else self.inner
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self._bytes = byte_labels()
+        code = {label: b for b, label in enumerate(self._bytes)}
+        spelt = {t: bytes(map(code.__getitem__, t)) for t in vocab if all(c in code for c in t)}
+        self.inner = {w: vocab[t] for t, w in spelt.items() if not (n and t.endswith(self.end) and len(t) > n)}
+        self.final = {w[:-n]: vocab[t] for t, w in spelt.items() if t.endswith(self.end) and len(t) > n} if n else self.inner
+        self.longest = max(map(len, self.final))
+        self._index_labels()
         # The log of gadgets. Base labels have rank -1 and no parts.
         self.rank, self.left, self.right = [-1] * len(self.labels), [-1] * len(self.labels), [-1] * len(self.labels)
         self.removed: dict[tuple[int, int], int] = {}
@@ -106,12 +111,48 @@ class TokenizationAutomaton:
             self.removed[a_id, b_id] = k
         self._arcs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
-        self._bytes = byte_labels()
         split = next(p for p in own["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        self._split = re.compile(_with_classes(split))
-        self._capital = re.compile("[" + "".join(map(chr, TO_SMALL)) + "]")
+        self._split, self._split_basic = re.compile(_with_classes(split)), re.compile(_with_classes(split, 0xFFFF))
+        self._capital, self._capital_basic = (re.compile("[" + "".join(chr(c) for c in TO_SMALL if c <= most) + "]") for most in (sys.maxunicode, 0xFFFF))
         self._cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    def _index_labels(self) -> None:
+        """States are the beginnings of inner labels; each knows all labels that end there, longest first."""
+        self._step: dict[int, int] = {}  # state << 8 | byte -> state
+        self._back, self._ends, parents = [0], [()], []
+        for label, token in self.inner.items():
+            at = 0
+            for b in label:
+                key = at << 8 | b
+                if key not in self._step:
+                    self._step[key] = len(self._back)
+                    self._back.append(0)
+                    self._ends.append(())
+                    parents.append(key)
+                at = self._step[key]
+            self._ends[at] = ((len(label), token),)
+        children: dict[int, list[int]] = {}
+        for key in parents:
+            children.setdefault(key >> 8, []).append(key)
+        level = [0]
+        while level:
+            below = []
+            for at in level:
+                for key in children.get(at, ()):
+                    to = self._step[key]
+                    if at:
+                        self._back[to] = self._next(self._back[at], key & 255)
+                    self._ends[to] += self._ends[self._back[to]]
+                    below.append(to)
+            level = below
+
+    def _next(self, at: int, b: int) -> int:
+        to = self._step.get(at << 8 | b)
+        while to is None and at:
+            at = self._back[at]
+            to = self._step.get(at << 8 | b)
+        return to or 0
+
     def has_arc(self, t: int, u: int, before: int | None = None) -> bool:
         """Whether the state after t has an arc u, as of the gadgets of rank < before."""
         rank = self.rank
@@ -147,16 +188,27 @@ class TokenizationAutomaton:
 
     def encode_word(self, word: str) -> list[int]:
         """The accepted path of one pre-split word."""
-        w = "".join([self._bytes[b] for b in word.encode()])
+        w = word.encode()
         n = len(w)
         last, start = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            table = self.final if end == n else self.inner
-            for s in range(max(0, end - self.longest), end):
-                u = table.get(w[s:end])
-                if u is not None and (s == 0 or self._arc(last[s], u)):
-                    last[end], start[end] = u, s
-                    break
+        step, ends, arcs, state = self._step.get, self._ends, self._arcs.get, 0
+        for end in range(1, n):
+            b = w[end - 1]
+            to = step(state << 8 | b)
+            state = self._next(state, b) if to is None else to
+            for size, u in ends[state]:
+                s = end - size
+                if s:
+                    known = arcs(last[s] << 20 | u)
+                    if not (self._arc(last[s], u) if known is None else known):
+                        continue
+                last[end], start[end] = u, s
+                break
+        for s in range(max(0, n - self.longest), n):
+            u = self.final.get(w[s:])
+            if u is not None and (s == 0 or self._arc(last[s], u)):
+                last[n], start[n] = u, s
+                break
         path, at = [], n
         while at:
             path.append(last[at])
@@ -178,9 +230,10 @@ class TokenizationAutomaton:
         for piece in self._pieces(text):
             s = unicodedata.normalize("NFC", piece)
             s = "".join([c.lower() for c in s]) if "Σ" in s else s.lower()
-            if self._capital.search(s):
+            basic = s.isascii() or len(s.encode("utf-16-le", "surrogatepass")) == 2 * len(s)
+            if not s.isascii() and (self._capital_basic if basic else self._capital).search(s):
                 s = s.translate(TO_SMALL)
-            found = self._split.findall(s)
+            found = (self._split_basic if basic else self._split).findall(s)
             new = set(found).difference(words)
             if len(words) + len(new) > WORD_CACHE:
                 words.clear()
