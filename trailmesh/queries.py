@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from trailmesh import evaluation_queries
 from trailmesh.functions import geometry as G
 from trailmesh.functions import vectors as V
-from trailmesh.operators import assign, association, pooling, temporal
+from trailmesh.operators import assign, association, pooling, scores, temporal
 from trailmesh.plans import portable
 
 GAP_S = 86_400
@@ -114,6 +114,28 @@ def offline_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("site", "tid", "gid", F.round("cost", 6).alias("cost"), "reason")
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portable.run(spark, sf_dir, f"WITH {portable.SCORED} SELECT score, y FROM d")
+
+
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.auc(_scored(spark, sf_dir), "score", "y").select(F.round("auc", 9).alias("auc"))
+
+
+def best_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.best_f1(_scored(spark, sf_dir), "score", "y").select("score", F.round("f1", 9).alias("f1"))
+
+
+def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.sweep(_scored(spark, sf_dir), "score", "y", 500)
+
+
+def identity_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense numbers of sorted names; only distinct names are ranked."""
+    names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name")).distinct()
+    return names.select("name", F.row_number().over(W.orderBy("name")).cast("bigint").alias("id"))
+
+
 def _portable(text: str):
     return lambda spark, sf_dir: portable.run(spark, sf_dir, text)
 
@@ -149,5 +171,8 @@ SELECT label, dim, round(m / sqrt(sum(m * m) OVER (PARTITION BY label)), 6) AS v
 SELECT a.vec_id, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS similarity
 FROM embeddings a JOIN k b ON a.label = b.label AND b.rn <= 8 GROUP BY a.vec_id""",
 }
+# Operators of their own; the plain texts stay their oracles. Cuts cover all scores.
+QUERIES |= {f.__name__: f for f in (auc, best_f1, threshold_sweep, identity_numbering)}
+ORACLE_SQL["threshold_sweep"] = ORACLE_SQL["threshold_sweep"].replace(" WHERE score < 20000", "")
 QUERIES |= evaluation_queries.QUERIES
 ORACLE_SQL |= evaluation_queries.ORACLE_SQL
