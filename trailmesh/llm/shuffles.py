@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmesh.llm.lineage import shared_folder
+from trailmesh.llm.lineage import removed, shared_folder
 
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -29,4 +29,12 @@ def stage_written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with shuffle_files_removed(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def stages_removed(*tables: DataFrame) -> None:
+    """Remove written stages that no later stage reads."""
+    for t in tables:
+        removed(t.sparkSession, t.stage_path)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmesh.llm import np_text as T
-from trailmesh.llm.shuffles import stage_written
+from trailmesh.llm.shuffles import stage_written, stages_removed
 
 WINDOW = 35
 #: A run's repeated windows are bits of one long.
@@ -176,10 +176,10 @@ def anchors(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, key bigint, lo int, hi int, turn int, quarter bigint, left bigint, right bigint")
 
 
-def repeated(rows: DataFrame, level: str) -> DataFrame:
-    """The rows whose hash of this level occurs more than once."""
+def repeated(rows: DataFrame, level: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash of this level occurs more than once, and the written hashes that do."""
     often = stage_written(rows.groupBy(level).agg(F.count("*").alias("n")).filter("n > 1").select(level), "level")
-    return rows.join(often, level, "left_semi")
+    return rows.join(often, level, "left_semi"), often
 
 
 def runs_of(docs: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
@@ -234,19 +234,26 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     if not 2 <= window <= LONGEST_WINDOW:
         raise ValueError(f"windows have 2 to {LONGEST_WINDOW} words")
-    first = repeated(stage_written(anchors(docs, window), "anchors"), "quarter")
+    # Each stage is written before what it was made from is removed.
+    quarters = stage_written(anchors(docs, window), "anchors")
+    first, often = repeated(quarters, "quarter")
     side = lambda lo, hi, half: F.struct(F.col(lo).alias("lo"), hi.alias("hi"), F.col(half).alias("half"))
     sides = F.array(side("lo", F.least("hi", F.col("turn") - 1), "left"), side("turn", F.col("hi"), "right"))
-    second = stage_written(first.select("doc_id", "key", F.inline(sides)).filter("lo <= hi"), "halves")
-    second = repeated(second, "half").groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    halves = stage_written(first.select("doc_id", "key", F.inline(sides)).filter("lo <= hi"), "halves")
+    stages_removed(quarters, often)
+    second, often = repeated(halves, "half")
+    second = second.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     runs = stage_written(runs_of(docs, second, window), "runs")
+    stages_removed(halves, often)
     kinds = stage_written(runs.groupBy("run1", "run2").agg(F.count("*").alias("n"), F.first("w1").alias("w1"), F.first("w2").alias("w2")), "kinds")
     each = kinds.select("run1", "run2", "n", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("run1", "run2", "n", "i", "w.*")
     often = stage_written(each.groupBy("w1", "w2").agg(F.sum("n").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
     once = each.filter("n = 1").join(often, ["w1", "w2"], "left_semi").groupBy("run1", "run2").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
     masks = stage_written(once.unionByName(kinds.filter("n > 1").select("run1", "run2", F.lit(-1).cast("bigint").alias("mask"))), "masks")
     found = runs.select("doc_id", "key", "lo", F.size("w1").alias("n"), "run1", "run2").join(masks, ["run1", "run2"])
-    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "n", "mask")).alias("spans"))
+    spans = stage_written(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "n", "mask")).alias("spans")), "spans")
+    stages_removed(runs, kinds, often, masks)
+    return spans
 
 
 def covered(lo: np.ndarray, n: np.ndarray, mask: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
