@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailmesh import evaluation_queries
+from trailmesh import evaluation_queries, identity_queries
 from trailmesh.functions import geometry as G
 from trailmesh.functions import vectors as V
-from trailmesh.operators import assign, association, pooling, scores, temporal
+from trailmesh.operators import assign, pooling, scores, temporal
 from trailmesh.plans import portable
 
 GAP_S = 86_400
@@ -104,16 +104,6 @@ def iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign.match_groups(pairs, ["frame"], "det1", "det0", "iou", 0.1)
 
 
-def offline_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identities over tracklets of all users; sites are user groups, vectors the embeddings of a user's number."""
-    e = temporal.sessionize(_events(spark, sf_dir), ["cam", "user_id"], "t", 86_400_000_000, ["event_id"])
-    s = e.groupBy("cam", "user_id", "seq").agg((F.min("t") / 1000).cast("bigint").alias("start"), (F.max("t") / 1000).cast("bigint").alias("end"), F.min("event_id").alias("tid"))
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vec"))
-    s = s.join(vectors, F.col("user_id") % 500 == F.col("_v"), "left").withColumn("site", F.col("user_id") % 16)
-    found = association.associate_offline(s, association.Config(window_ms=3_600_000, ttl_ms=10**12))
-    return found.select("site", "tid", "gid", F.round("cost", 6).alias("cost"), "reason")
-
-
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable.run(spark, sf_dir, f"WITH {portable.SCORED} SELECT score, y FROM d")
 
@@ -160,7 +150,7 @@ for _name, _text in portable.QUERIES.items():
     ORACLE_SQL[_name] = portable.duck_sql(_text)
 
 E2 = portable.duck_sql(portable.SESSIONS)
-QUERIES |= {f.__name__: f for f in (asof_nearest, interval_first, smooth_median, embedding_topk_pool, gallery_similarity_max, iou_match, offline_association)}
+QUERIES |= {f.__name__: f for f in (asof_nearest, interval_first, smooth_median, embedding_topk_pool, gallery_similarity_max, iou_match)}
 ORACLE_SQL |= {
     "asof_nearest": """WITH e AS (SELECT event_id, user_id, event_type AS cam, epoch_us(ts) AS t FROM events),
 k AS (SELECT a.event_id AS left_id, b.event_id AS right_id, abs(a.t - b.t) AS distance,
@@ -182,5 +172,6 @@ FROM embeddings a JOIN k b ON a.label = b.label AND b.rn <= 8 GROUP BY a.vec_id"
 # Operators of their own; the plain texts stay their oracles. Cuts cover all scores.
 QUERIES |= {f.__name__: f for f in (auc, best_f1, threshold_sweep, identity_numbering, latency_segments)}
 ORACLE_SQL["threshold_sweep"] = ORACLE_SQL["threshold_sweep"].replace(" WHERE score < 20000", "")
-QUERIES |= evaluation_queries.QUERIES
-ORACLE_SQL |= evaluation_queries.ORACLE_SQL
+for _more in (evaluation_queries, identity_queries):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL
