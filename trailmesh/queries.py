@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailmesh import evaluation_queries, identity_queries
+from trailmesh import evaluation_queries, identity_queries, shape_queries
 from trailmesh.functions import geometry as G
 from trailmesh.functions import vectors as V
 from trailmesh.operators import assign, pooling, scores, temporal
@@ -172,6 +172,6 @@ FROM embeddings a JOIN k b ON a.label = b.label AND b.rn <= 8 GROUP BY a.vec_id"
 # Operators of their own; the plain texts stay their oracles. Cuts cover all scores.
 QUERIES |= {f.__name__: f for f in (auc, best_f1, threshold_sweep, identity_numbering, latency_segments)}
 ORACLE_SQL["threshold_sweep"] = ORACLE_SQL["threshold_sweep"].replace(" WHERE score < 20000", "")
-for _more in (evaluation_queries, identity_queries):
+for _more in (evaluation_queries, identity_queries, shape_queries):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL
