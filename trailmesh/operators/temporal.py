@@ -28,13 +28,44 @@ def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, tol
     return best.select("left_id", "m.right_id", "m.distance")
 
 
-def interval_lookup(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, point_id: str, value: str) -> DataFrame:
-    """The value of the first span (by start) that holds each point; both ends belong to a span."""
-    s = spans.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("value"))
-    hit = points.select(*keys, F.col(t).alias("_t"), F.col(point_id).alias("point_id")).join(s, keys).filter(F.col("_t").between(F.col("_s"), F.col("_e")))
+def interval_lookup(points: DataFrame, spans: DataFrame, keys: list[str], t: str, start: str, end: str, point_id: str, value: str, width: int) -> DataFrame:
+    """The value of the first span (by start) that holds each point; both ends belong to a span.
+
+    Time is cut into buckets of ``width``; a span lies in each bucket that it touches, so a
+    point meets the spans of its own bucket only.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    s = spans.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("value"), F.explode(F.sequence(bucket(start), bucket(end))).alias("_b"))
+    p = points.select(*keys, F.col(t).alias("_t"), F.col(point_id).alias("point_id"), bucket(t).alias("_b"))
+    hit = p.join(s, [*keys, "_b"]).filter(F.col("_t").between(F.col("_s"), F.col("_e")))
     return hit.groupBy("point_id").agg(F.min(F.struct("_s", "value")).alias("m")).select("point_id", "m.value")
 
 
+def overlapping(spans: DataFrame, keys: list[str], start: str, end: str, columns: list[str], width: int) -> DataFrame:
+    """Pairs of spans of a key that share a moment, both ways: keys, columns, and the other's as ``other_``.
+
+    A pair is found in every bucket of ``width`` that both touch and kept where the later of the two begins.
+    """
+    bucket = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    a = spans.select(*keys, *columns, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(bucket(start), bucket(end))).alias("_b"))
+    b = a.select(*keys, "_b", F.col("_s").alias("_os"), F.col("_e").alias("_oe"), *[F.col(c).alias(f"other_{c}") for c in columns])
+    met = a.join(b, [*keys, "_b"]).filter((F.col("_s") <= F.col("_oe")) & (F.col("_os") <= F.col("_e")))
+    return met.filter(F.floor(F.greatest("_s", "_os") / width) == F.col("_b")).select(*keys, *columns, *[f"other_{c}" for c in columns])
+
+
+def handovers(spans: DataFrame, key: str, cam: str, seq: str, start: str, end: str, same_moment: bool = False) -> DataFrame:
+    """Each appearance with the one of its identity it follows: key, src, src_seq, end_us, dst, dst_seq, start_us.
+
+    That is the earlier-begun one that ended last, then by camera and number; with ``same_moment`` one of a lesser
+    camera that begins at the same moment counts as earlier. One ordered pass over an identity.
+    """
+    last = F.min(F.struct((-F.col(end)).alias("e"), F.col(cam).alias("c"), F.col(seq).alias("q")))
+    own = W.partitionBy(key)
+    before = own.orderBy(start, cam, seq).rowsBetween(W.unboundedPreceding, -1) if same_moment else own.orderBy(start).rangeBetween(W.unboundedPreceding, -1)
+    rows = spans.withColumn("_m", last.over(before)).filter("_m IS NOT NULL")
+    return rows.select(key, F.col("_m.c").alias("src"), F.col("_m.q").alias("src_seq"), (-F.col("_m.e")).alias("end_us"), F.col(cam).alias("dst"), F.col(seq).alias("dst_seq"), F.col(start).alias("start_us"))
+
+
 def smooth_median(value: str, keys: list[str], order: list[str], window: int) -> Column:
     """Centred moving median, truncated at the ends of a segment."""
     half = window // 2

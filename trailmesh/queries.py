@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailmesh import evaluation_queries, identity_queries, shape_queries
+from trailmesh import evaluation_queries, identity_queries, scale_queries, shape_queries
 from trailmesh.functions import geometry as G
 from trailmesh.functions import vectors as V
 from trailmesh.operators import assign, pooling, scores, temporal
@@ -70,7 +70,7 @@ def interval_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session (by start) that holds each event, looked up by time."""
     e = temporal.sessionize(_events(spark, sf_dir), ["cam", "user_id"], "t", 86_400_000_000, ["event_id"])
     spans = e.groupBy("cam", "user_id", "seq").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    return temporal.interval_lookup(e, spans, ["cam", "user_id"], "t", "a", "b", "event_id", "seq")
+    return temporal.interval_lookup(e, spans, ["cam", "user_id"], "t", "a", "b", "event_id", "seq", 86_400_000_000)
 
 
 def smooth_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +120,6 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.sweep(_scored(spark, sf_dir), "score", "y", 500)
 
 
-def latency_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count, median and p90 of five segments, from one scan."""
-    r = portable.run(spark, sf_dir, f"WITH {portable.LATENCY} SELECT t0, t1, t2, t3, t4 FROM r")
-    parts = [F.struct(F.lit(f"a{i}{j}").alias("seg"), (F.col(f"t{j}") - F.col(f"t{i}")).alias("v")) for i, j in ((0, 1), (1, 2), (2, 3), (3, 4), (0, 4))]
-    at = lambda q: F.round(F.percentile("v", F.lit(q)), 6)
-    return r.select(F.inline(F.array(*parts))).groupBy("seg").agg(F.count("*").alias("n"), at(0.5).alias("med"), at(0.9).alias("p90"))
-
-
 def identity_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense numbers of sorted names; only distinct names are ranked."""
     names = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("name")).distinct()
@@ -170,7 +162,9 @@ SELECT a.vec_id, round(max(list_dot_product(a.embedding::DOUBLE[], b.embedding::
 FROM embeddings a JOIN k b ON a.label = b.label AND b.rn <= 8 GROUP BY a.vec_id""",
 }
 # Operators of their own; the plain texts stay their oracles. Cuts cover all scores.
-QUERIES |= {f.__name__: f for f in (auc, best_f1, threshold_sweep, identity_numbering, latency_segments)}
+QUERIES |= {f.__name__: f for f in (auc, best_f1, threshold_sweep, identity_numbering)}
+# Queries whose plain text would gather a group in one task.
+QUERIES |= scale_queries.QUERIES
 ORACLE_SQL["threshold_sweep"] = ORACLE_SQL["threshold_sweep"].replace(" WHERE score < 20000", "")
 for _more in (evaluation_queries, identity_queries, shape_queries):
     QUERIES |= _more.QUERIES

@@ -76,6 +76,7 @@ def rank_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("vec"))
     s = s.join(F.broadcast(e.agg((F.max("_v") + 1).alias("_n")))).withColumn("_v", F.expr("tid % _n")).join(e, "_v")
     found = separability.nearest(s.withColumnRenamed("site", "session").withColumnRenamed("user_id", "person"))
+    found = found.withColumns({c: F.round(c, 6) for c in ("right", "wrong")})  # equal vectors tie
     return separability.rank_one(found, 0.7).select("mode", "n", *[F.round(c, 9).alias(c) for c in ("rank1", "chance", "hard", "right_below", "wrong_below")])
 
 
@@ -132,7 +133,7 @@ SELECT cam, (i * b + frame + 1)::BIGINT AS virtual, count(*) AS n FROM r JOIN c
     "rank_one": f"""
 WITH {I._SESSIONS_SQL},
 t AS (SELECT s.*, embedding::DOUBLE[] AS z FROM s JOIN embeddings ON vec_id = tid % (SELECT max(vec_id) + 1 FROM embeddings)),
-p AS (SELECT q.tid, CASE WHEN q.cam <> g.cam THEN 'cross' ELSE 'same_camera' END AS mode, q.user_id = g.user_id AS ok, 1 - list_dot_product(q.z, g.z) AS d
+p AS (SELECT q.tid, CASE WHEN q.cam <> g.cam THEN 'cross' ELSE 'same_camera' END AS mode, q.user_id = g.user_id AS ok, round(1 - list_dot_product(q.z, g.z), 6) AS d
       FROM t q, t g WHERE q.site = g.site AND q.tid <> g.tid AND (q.cam <> g.cam OR g.b < q.a OR g.a > q.b)),
 m AS (SELECT tid, mode, count(*) FILTER (WHERE ok) AS nr, count(*) FILTER (WHERE NOT ok) AS nw, min(d) FILTER (WHERE ok) AS r, min(d) FILTER (WHERE NOT ok) AS w FROM p GROUP BY ALL HAVING count(*) FILTER (WHERE ok) > 0)
 SELECT mode, count(*) AS n, round(avg((coalesce(r <= w, true))::INT), 9) AS rank1, round(avg(nr / (nr + nw)), 9) AS chance, round(avg((w < r)::INT), 9) AS hard, round(avg((r < 0.7)::INT), 9) AS right_below, round(avg((w < 0.7)::INT), 9) AS wrong_below FROM m GROUP BY mode""",
