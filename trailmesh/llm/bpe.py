@@ -1,14 +1,14 @@
 """BPE encoding and decoding with a tokenization automaton.
 
 The merges are compiled into a deterministic automaton over token labels, one merge
-gadget after the other: the gadget of (a, b) -> c takes the arc b away from the state
-after a and adds an arc c to every state that had a followed by b. The state after a
-token is a snapshot, at the token's rank, of the state after its right part; the
-automaton therefore is kept as a log of gadgets (parts, ranks, removed arcs), and an
-arc is materialised into the transition table when it is first asked for. A pre-split
-word has exactly one accepted path; it is found left to right: the labels' own automaton
-(a trie with failure links) names the arcs that may end after each byte, longest first.
-Decoding emits the labels of the arcs.
+gadget after the other: the gadget of (a, b) -> c makes the state after c a copy of the
+state after b, takes the arc b away from the state after a, and adds an arc c to every
+state that had a followed by b. There is one state for each label that can stand before another, and an
+arc t -> u leads to the state after u, so the transition table is one bit for each state and label,
+columns of states in merge order. It is compiled once, on the driver, and broadcast; its size is that of the
+vocabulary. A pre-split word has exactly one accepted path; it is found left to right
+over the table: the labels' own automaton (a trie with failure links) names the arcs that may end after each byte, longest
+first. Decoding emits the labels of the arcs.
 
 Text is treated as the vocabulary's file says: special tokens are cut out first, the
 rest is NFC-normalised, lower-cased and split into words of letters, single numbers
@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END = "</w>"
 PIECE = 500_000
-WORD_CACHE, ARC_CACHE = 700_000, 2_000_000
+WORD_CACHE = 700_000
 
 
 def byte_labels() -> list[str]:
@@ -83,9 +84,9 @@ def _with_classes(pattern: str, most: int = sys.maxunicode) -> str:
 
 
 class TokenizationAutomaton:
-    """Compiled from the text of a vocabulary file of word-end BPE with byte-level labels."""
+    """Compiled from the text of a vocabulary file of word-end BPE with byte-level labels; ``arcs`` is the table of one compiled before."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, arcs: bytes | None = None) -> None:
         own = json.loads(spec)
         vocab: dict[str, int] = own["model"]["vocab"]
         self.end = own["model"].get("end_of_word_suffix") or ""
@@ -100,24 +101,41 @@ class TokenizationAutomaton:
         self.inner = {w: vocab[t] for t, w in spelt.items() if not (n and t.endswith(self.end) and len(t) > n)}
         self.final = {w[:-n]: vocab[t] for t, w in spelt.items() if t.endswith(self.end) and len(t) > n} if n else self.inner
         self.longest = max(map(len, self.final))
+        merges = [(vocab[x], vocab[y], vocab[x + y]) for x, y in (m.split(" ") if isinstance(m, str) else m for m in own["model"]["merges"])]
+        made = {c for _, _, c in merges}
+        # Columns in order of creation: the labels of single bytes, then one for each merge.
+        base = [i for i in sorted({*self.inner.values(), *self.final.values()}) if i not in made]
+        self.column = {i: at for at, i in enumerate([*base, *(c for _, _, c in merges)])}
+        self.state = {i: at for at, i in enumerate(sorted(self.inner.values(), key=self.column.__getitem__))}
+        self.width = (len(self.state) + 7) // 8
+        self.arcs = self._compiled(merges, len(base)) if arcs is None else arcs
         self._index_labels()
-        # The log of gadgets. Base labels have rank -1 and no parts.
-        self.rank, self.left, self.right = [-1] * len(self.labels), [-1] * len(self.labels), [-1] * len(self.labels)
-        self.removed: dict[tuple[int, int], int] = {}
-        for k, merge in enumerate(own["model"]["merges"]):
-            a, b = merge.split(" ") if isinstance(merge, str) else merge
-            a_id, b_id, c = vocab[a], vocab[b], vocab[a + b]
-            self.rank[c], self.left[c], self.right[c] = k, a_id, b_id
-            self.removed[a_id, b_id] = k
-        self._arcs: dict[int, bool] = {}
         self._words: dict[str, bytes] = {}
         split = next(p for p in own["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
         self._split, self._split_basic = re.compile(_with_classes(split)), re.compile(_with_classes(split, 0xFFFF))
         self._capital, self._capital_basic = (re.compile("[" + "".join(chr(c) for c in TO_SMALL if c <= most) + "]") for most in (sys.maxunicode, 0xFFFF))
         self._cut = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
 
+    def _compiled(self, merges: list[tuple[int, int, int]], n_base: int) -> bytes:
+        """The transition table after all gadgets: for each column, a bit for each state that has its arc."""
+        table = np.zeros((n_base + len(merges), self.width), np.uint8)
+        for at in range(sum(self.column[i] < n_base for i in self.state)):
+            table[:n_base, at >> 3] |= 1 << (at & 7)  # any byte may follow any other
+        for n, (a, b, c) in enumerate(merges, n_base):
+            before, last = self.state[a], self.column[b]
+            there = table[last, before >> 3] >> (before & 7) & 1
+            if c in self.state:
+                old, new = self.state[b], self.state[c]
+                table[:n, new >> 3] |= (table[:n, old >> 3] >> (old & 7) & 1) << (new & 7)
+            table[last, before >> 3] &= ~(1 << (before & 7)) & 255
+            if there:
+                table[n] = table[self.column[a]]
+        return table.tobytes()
+
     def _index_labels(self) -> None:
-        """States are the beginnings of inner labels; each knows all labels that end there, longest first."""
+        """The trie's states are the beginnings of inner labels; each knows all labels that end there, longest first."""
+        column = lambda token: self.column[token] * self.width
+        self._last = {w: (token, column(token)) for w, token in self.final.items()}
         self._step: dict[int, int] = {}  # state << 8 | byte -> state
         self._back, self._ends, parents = [0], [()], []
         for label, token in self.inner.items():
@@ -130,7 +148,7 @@ class TokenizationAutomaton:
                     self._ends.append(())
                     parents.append(key)
                 at = self._step[key]
-            self._ends[at] = ((len(label), token),)
+            self._ends[at] = ((len(label), token, self.state[token], column(token)),)
         children: dict[int, list[int]] = {}
         for key in parents:
             children.setdefault(key >> 8, []).append(key)
@@ -153,65 +171,36 @@ class TokenizationAutomaton:
             to = self._step.get(at << 8 | b)
         return to or 0
 
-    def has_arc(self, t: int, u: int, before: int | None = None) -> bool:
-        """Whether the state after t has an arc u, as of the gadgets of rank < before."""
-        rank = self.rank
-        if before is None:
-            before = len(rank)
-        while True:
-            gone = self.removed.get((t, u))
-            if gone is not None and gone < before:
-                return False
-            if rank[u] < 0 or rank[u] < rank[t]:
-                if rank[t] < 0:
-                    return rank[u] < 0 or self._grown(t, u)
-                before, t = rank[t], self.right[t]  # the snapshot taken when t was made
-                if rank[u] >= before:
-                    return False
-            elif rank[u] >= before:
-                return False
-            else:
-                return self._grown(t, u)
-
-    def _grown(self, t: int, u: int) -> bool:
-        """Whether u's own gadget added the arc u to the state after t."""
-        return self.has_arc(t, self.left[u], self.rank[u] + 1)
-
-    def _arc(self, t: int, u: int) -> bool:
-        key = t << 20 | u
-        known = self._arcs.get(key)
-        if known is None:
-            if len(self._arcs) >= ARC_CACHE:
-                self._arcs.clear()
-            known = self._arcs[key] = self.has_arc(t, u)
-        return known
+    def has_arc(self, t: int, u: int) -> bool:
+        """Whether label u may follow label t."""
+        at = self.state[t]
+        return bool(self.arcs[self.column[u] * self.width + (at >> 3)] >> (at & 7) & 1)
 
     def encode_word(self, word: str) -> list[int]:
         """The accepted path of one pre-split word."""
         w = word.encode()
         n = len(w)
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        step, ends, arcs, state = self._step.get, self._ends, self._arcs.get, 0
+        # For each place: the state there, the label that led to it, and where that began.
+        states, labels, start = [-1] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        step, ends, arcs, state = self._step.get, self._ends, self.arcs, 0
         for end in range(1, n):
             b = w[end - 1]
             to = step(state << 8 | b)
             state = self._next(state, b) if to is None else to
-            for size, u in ends[state]:
+            for size, u, after, column in ends[state]:
                 s = end - size
-                if s:
-                    known = arcs(last[s] << 20 | u)
-                    if not (self._arc(last[s], u) if known is None else known):
-                        continue
-                last[end], start[end] = u, s
+                if s and not arcs[column + (states[s] >> 3)] >> (states[s] & 7) & 1:
+                    continue
+                states[end], labels[end], start[end] = after, u, s
                 break
         for s in range(max(0, n - self.longest), n):
-            u = self.final.get(w[s:])
-            if u is not None and (s == 0 or self._arc(last[s], u)):
-                last[n], start[n] = u, s
+            found = self._last.get(w[s:])
+            if found is not None and (s == 0 or arcs[found[1] + (states[s] >> 3)] >> (states[s] & 7) & 1):
+                labels[n], start[n] = found[0], s
                 break
         path, at = [], n
         while at:
-            path.append(last[at])
+            path.append(labels[at])
             at = start[at]
         return path[::-1]
 
@@ -261,15 +250,20 @@ class TokenizationAutomaton:
 _compiled: dict[str, TokenizationAutomaton] = {}
 
 
-def automaton(spec: str) -> TokenizationAutomaton:
-    """The automaton of a vocabulary file's text, compiled once per process."""
+def automaton(spec: str, arcs: bytes | None = None) -> TokenizationAutomaton:
+    """The automaton of a vocabulary file's text, made once per process."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _compiled:
         _compiled.clear()
-        _compiled[key] = TokenizationAutomaton(spec)
+        _compiled[key] = TokenizationAutomaton(spec, arcs)
     return _compiled[key]
 
 
+def _shared(df: DataFrame, spec: str) -> Broadcast:
+    """The vocabulary's text and its compiled table, as large as the vocabulary makes them."""
+    return df.sparkSession.sparkContext.broadcast((spec, automaton(spec).arcs))
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -277,11 +271,11 @@ def read_spec(path: str) -> str:
 
 def encode(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array<int>) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    shared = _shared(docs, spec)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton(shared.value)
+        own = automaton(*shared.value)
         for batch in batches:
             for i in range(0, len(batch), 200):
                 part = batch.slice(i, 200)
@@ -294,11 +288,11 @@ def encode(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text
 
 def decode(encoded: DataFrame, spec: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and text of every row of ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(spec)
+    shared = _shared(encoded, spec)
     kind = encoded.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton(shared.value)
+        own = automaton(*shared.value)
         for batch in batches:
             texts = [own.decode(np.array(x.as_py() or [], "<u4")).decode() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -308,11 +302,11 @@ def decode(encoded: DataFrame, spec: str, doc_id: str = "doc_id", ids: str = "id
 
 def token_digests(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode and decode without moving the ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(spec)
+    shared = _shared(docs, spec)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = automaton(shared.value)
+        own = automaton(*shared.value)
         for batch in batches:
             counts, shas, decoded = [], [], []
             for t in batch.column(1):
