@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmesh.llm.lineage import checkpointed
+from trailmesh.llm.skew import heavy_keys, salted
 from trailmesh.llm.spans import Kind, candidate_rows, located, same_row, span_string
 
 KINDS = [
@@ -42,7 +43,11 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     counts = held.groupBy("hash", F.coalesce("_owner", F.lit("")).alias("_owner"), "_repo").agg(F.lit(1).alias("n"))
     counts = counts.groupBy("hash", "_owner").agg(F.sum("n").alias("repos"))
     counts = counts.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repositories"))
-    judged = spans.join(counts, "hash").withColumn("example", F.col("n_owners") >= example_owners)
+    used = spans.groupBy("hash").agg(F.count("*").alias("n_spans"))
+    counts = checkpointed(counts.join(used, "hash"))
+    # Every copy of a widely used secret meets its counts; they are dealt to many tasks.
+    common = F.col("hash").isin(heavy_keys(counts, "hash", "n_spans"))
+    judged = salted(spans, counts.drop("n_spans"), ["hash"], common, ["doc_id", "_key", "start"]).withColumn("example", F.col("n_owners") >= example_owners)
     per_doc = judged.groupBy("doc_id", "_key").agg(
         F.collect_list(F.struct("start", "rank", "end", "kind", "n_owners", "n_repositories", "example", (~F.col("example") & F.col("varied")).alias("live"))).alias("spans")
     )
