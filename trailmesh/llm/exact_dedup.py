@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.llm import np_text as T
 from trailmesh.llm.lineage import checkpointed
+from trailmesh.llm.skew import heavy_keys, salted
 
 WINDOW, BITS, MIN_CHUNK, MAX_CHUNK = 48, 11, 256, 16384
 
@@ -142,8 +143,11 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fp_
         own = own.join(found, same, "left").withColumn("ords", F.coalesce(F.col("ords")["ord"], F.array().cast("array<int>")))
     own = own.select("doc_id", "key", "text_sha256", "fps", "ords", F.row_number().over(W.partitionBy("doc_id", "text_sha256").orderBy("key")).alias("copy"))
     own = checkpointed(own)
-    groups = own.groupBy("fps", "ords").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return own.join(groups, ["fps", "ords"]).select(
+    groups = checkpointed(own.groupBy("fps", "ords").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    recipe = F.xxhash64("fps", "ords")
+    # A large group's rows meet its one row in many tasks.
+    large = recipe.isin(heavy_keys(groups.select(recipe.alias("recipe"), "group_size"), "recipe", "group_size"))
+    return salted(own, groups, ["fps", "ords"], large, ["doc_id", "copy"]).select(
         "doc_id",
         "keep_id",
         "group_size",
