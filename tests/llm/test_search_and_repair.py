@@ -228,3 +228,30 @@ def test_spans_cover_what_is_removed(spark):
     words = " ".join(f"w{i}" for i in range(50))
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in S.mark_repeats(docs_of(spark, [(1, "a b " + words), (2, words + " c"), (3, "alone")])).collect()}
     assert got == {1: [(2, 52)], 2: [(0, 50)], 3: []}
+
+
+# --- heavy keys
+
+
+def test_a_third_of_the_rows_under_one_key(spark, monkeypatch):
+    from trailmesh.llm import exact_dedup, secrets, skew
+
+    monkeypatch.setattr(skew, "LEAST", 5)
+    shared = "the same long text " * 40
+    rows = [(i, shared) for i in range(60)] + [(i, f"token = secret{i % 3}abcdef of {i}") for i in range(60, 180)] + [(None, shared), (None, None)]
+    table = docs_of(spark, rows).withColumn("source", (skew.F.col("doc_id") % 7).cast("string")).withColumn("lang", skew.F.lit("en"))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.dedup_exact(table).collect() if r.doc_id is not None}
+    assert got == {i: ((59, 61) if i < 60 else (i, 1)) for i in range(180)}
+    spans = {r.doc_id: [(s.kind, s.n_owners, s.n_repositories) for s in r.spans] for r in secrets.scan_secrets(table).collect() if r.doc_id is not None}
+    assert all(spans[i] == ([] if i < 60 else [("assign", 7, 7)]) for i in range(180))
+    n = skew.heavy_keys(spark.createDataFrame([("a", 500), ("b", 3), ("c", 5)], "k string, n long"), "k", "n")
+    assert sorted(n) == ["a", "c"]
+
+
+def test_shuffled_windows_find_what_broadcast_ones_do(spark):
+    from trailmesh.llm import decontaminate
+
+    docs = docs_of(spark, [(i, f"a{i} b c d e f g h i j k l") for i in range(6)] + [(None, None), (7, "")])
+    items = spark.createDataFrame([(1, "b c d e f g h i j k"), (2, "a1 b")], "item_id long, text string")
+    both = [sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in decontaminate.find_contamination(docs, items, broadcast_windows=n).collect()), key=str) for n in (1000, 0)]
+    assert both[0] == both[1] and sum(r[2] > 0 for r in both[0]) == 6

@@ -82,8 +82,8 @@ def find_contamination(
 
     words = _keyed(docs, doc_id, text).select("doc_id", "_key", words_of(F.col("_text")).alias("_w"))
     grams = with_gram_hashes(words, "_w", lengths)
-    # A null hash at position -1 carries the document itself through the look-up.
-    arrays = [F.array(F.lit(None).cast("bigint"))]
+    # At position 0 a document carries itself through the look-up, under a hash of its own; what that finds is passed over.
+    arrays = [F.array(F.xxhash64("doc_id", "_key"))]
     size, starts = F.lit(1), []
     for n in lengths:
         starts.append((n, size))
