@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmesh.operators.lineage import computed_once
+
 
 def histogram(df: DataFrame, score: str, label: str) -> DataFrame:
     """score, pos, neg: rows with label 1 and 0 of each distinct score."""
@@ -24,6 +26,7 @@ def running(hist: DataFrame, parts: int = 200) -> DataFrame:
 
     The ranges' bounds are approximate percentiles; any bounds give the same sums.
     """
+    hist = computed_once(hist)
     cuts = F.broadcast(hist.agg(F.percentile_approx("score", [k / parts for k in range(1, parts)], 1000).alias("cuts")))
     placed = hist.crossJoin(cuts).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts")
     totals = placed.groupBy("part").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
