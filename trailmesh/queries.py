@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trailmesh import diagnosis_queries, evaluation_queries, identity_queries, scale_queries, shape_queries
+from trailmesh import diagnosis_queries, evaluation_queries, identity_queries, report_queries, scale_queries, shape_queries
 from trailmesh.functions import geometry as G
 from trailmesh.functions import vectors as V
 from trailmesh.operators import assign, pooling, scores, temporal
@@ -166,6 +166,6 @@ QUERIES |= {f.__name__: f for f in (auc, best_f1, threshold_sweep, identity_numb
 # Queries whose plain text would gather a group in one task.
 QUERIES |= scale_queries.QUERIES
 ORACLE_SQL["threshold_sweep"] = ORACLE_SQL["threshold_sweep"].replace(" WHERE score < 20000", "")
-for _more in (diagnosis_queries, evaluation_queries, identity_queries, shape_queries):
+for _more in (diagnosis_queries, evaluation_queries, identity_queries, report_queries, shape_queries):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL
