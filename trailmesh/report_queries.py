@@ -85,8 +85,8 @@ def clock_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exit_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directions in which users leave a source for the next one."""
-    e = temporal.sessionize(I._events(spark, sf_dir), ["cam", "user_id"], "t", I.DAY_US, ["event_id"]).withColumns({"ms": F.expr("t div 1000"), "y": (F.col("event_id") % 97).cast("double")})
-    v = ground.exit_velocity(e, ["cam", "user_id", "seq"], "ms", "value", "y", 43_200_000)
+    e = temporal.sessionize(I._events(spark, sf_dir), ["cam", "user_id"], "t", 5 * I.DAY_US, ["event_id"]).withColumns({"ms": F.expr("t div 1000"), "y": (F.col("event_id") % 97).cast("double")})
+    v = ground.exit_velocity(e, ["cam", "user_id", "seq"], "ms", "value", "y", 432_000_000)
     s = e.groupBy("cam", "user_id", "seq").agg(F.min("t").alias("start"), F.max("t").alias("end"))
     h = temporal.handovers(s, "user_id", "cam", "seq", "start", "end").filter("src <> dst")
     tid = lambda cam, seq: F.concat_ws(":", F.col("user_id").cast("string"), cam, seq)
