@@ -84,6 +84,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted((r.k, r.n_frames) for r in spark.table("tracklets").collect()) == [("a", 2), ("a", 3), ("b", 2), ("b", 3)]
 
 
+def test_a_step_of_the_gap_stays_in_its_session(spark, tmp_path):
+    rows = [("a", f"2024-01-01 00:00:{s:02d}") for s in (0, 5, 11)] + [("z", "2024-01-02 00:00:00")]
+    spark.createDataFrame(rows, "k string, ts string").selectExpr("k", "cast(ts as timestamp) ts").write.parquet(str(tmp_path / "in"))
+    out = online.tracklets_of_stream(spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in")), ["k"], "ts", "5 seconds", "10 seconds")
+    out.writeStream.format("memory").queryName("strict").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.n_frames for r in spark.table("strict").collect()) == [1, 2]
+
+
 def test_upsert_is_idempotent(spark, tmp_path):
     write, read = online.upsert_by_key(str(tmp_path / "t"), ["k"], "t")
     one = spark.createDataFrame([("a", 1, 5), ("a", 2, 6)], "k string, t int, v int")

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trailmesh.operators import ranks
+
+#: Frames of a camera that one task spells out.
+STRETCH = 10_000
+
 
 def asof_following(left: DataFrame, right: DataFrame, keys: list[str], t: str, tolerance: int, left_id: str, right_id: str) -> DataFrame:
     """The first right row at or after each left row; past the key's last right row, that one. Within the tolerance only.
@@ -53,7 +58,10 @@ def interpolate_boxes(boxes: DataFrame, keys: list[str], frame: str, values: lis
 
 def assemble_frames(rows: DataFrame, spans: DataFrame, cam: str, frame: str, step: int = 1) -> DataFrame:
     """One row per camera and frame of spans(cam, first, last) with its detections in order; empty frames stay."""
-    spine = spans.select(cam, F.explode(F.sequence(F.col("first").cast("bigint"), F.col("last").cast("bigint"), F.lit(step).cast("bigint"))).alias(frame))
+    # A long camera is cut into stretches that many tasks spell out.
+    whole = lambda c: F.col(c).cast("bigint")
+    cuts = spans.select(cam, whole("last").alias("_last"), F.explode(F.sequence(whole("first"), whole("last"), F.lit(step * STRETCH).cast("bigint"))).alias("_a")).repartition(cam, "_a")
+    spine = cuts.select(cam, F.explode(F.sequence("_a", F.least("_last", F.col("_a") + step * (STRETCH - 1)), F.lit(step).cast("bigint"))).alias(frame))
     rest = [c for c in rows.columns if c not in (cam, frame)]
     own = rows.groupBy(cam, frame).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias("detections"))
     none = F.array().cast(own.schema["detections"].dataType)
@@ -66,16 +74,17 @@ def run_summary(rows: DataFrame, cam: str, track: str, person: str, n_reference:
     own = F.when(F.col(person).isNotNull(), F.col("_n"))
     tracks = votes.groupBy(cam, track).agg(F.sum("_n").alias("all"), F.coalesce(F.sum(own), F.lit(0)).alias("hit"), F.count(person).alias("persons"), (F.max(own) / F.sum(own)).alias("purity"))
     hits = F.coalesce(F.sum("hit"), F.lit(0))
-    return tracks.agg(
+    sums = tracks.agg(
         F.coalesce(F.sum("all"), F.lit(0)).alias("n_detections"),
         hits.alias("n_matched"),
         F.coalesce(F.sum("hit") / F.sum("all"), F.lit(0.0)).alias("match_rate"),
         (hits / n_reference if n_reference else F.lit(0.0)).cast("double").alias("recall"),
         F.count("*").alias("n_tracks"),
         F.count_if(F.col("persons") > 1).alias("n_multi_identity"),
-        F.coalesce(F.percentile("purity", F.lit(0.5)), F.lit(0.0)).alias("purity_median"),
-        F.coalesce(F.percentile("purity", F.lit(0.1)), F.lit(0.0)).alias("purity_p10"),
     )
+    marks = ranks.quantiles(tracks, [], "purity", {"purity_median": 0.5, "purity_p10": 0.1})
+    both = sums.join(marks.drop("n"), how="left")  # one row each
+    return both.fillna(0.0, ["purity_median", "purity_p10"])
 
 
 def decision_log(decisions: DataFrame) -> DataFrame:
@@ -101,15 +110,15 @@ def select_run(records: DataFrame, run: str, order: str) -> DataFrame:
     """Records of one run: its id, ``all``, or ``last``, the run of the last record by ``order``."""
     if run == "all":
         return records
-    own = records.agg(F.max_by("run_id", order)).first()[0] if run == "last" else run
-    return records.filter(F.col("run_id") == own)
+    if run != "last":
+        return records.filter(F.col("run_id") == run)
+    return records.join(records.agg(F.max_by("run_id", order).alias("run_id")), "run_id", "left_semi")
 
 
 def latency_by(records: DataFrame, field: str, start: str = "t0", end: str = "t4") -> DataFrame:
     """n, median, p90 and p99 of the time from start to end by any field."""
     took = records.withColumn("_v", F.col(end) - F.col(start)).filter("_v IS NOT NULL")
-    points = took.groupBy(field).agg(F.count("*").alias("n"), F.percentile("_v", F.array(*map(F.lit, (0.5, 0.9, 0.99)))).alias("_p"))
-    return points.select(field, "n", *[F.col("_p")[i].alias(name) for i, name in enumerate(("median", "p90", "p99"))])
+    return ranks.quantiles(took, [field], "_v", {"median": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 def latency_warnings(records: DataFrame, stamps: list[str], source: str = "t0_source", tolerance: float = 0.0) -> DataFrame:

@@ -9,9 +9,13 @@ from trailmesh.operators.association import Config, associate_offline
 
 
 def tracklets_of_stream(frames: DataFrame, keys: list[str], ts: str, gap: str, late: str, min_rows: int = 1) -> DataFrame:
-    """Closed tracklets: sessions of each key, emitted once the watermark has passed them."""
+    """Closed tracklets: sessions of each key, emitted once the watermark has passed them.
+
+    A step of exactly ``gap`` still belongs to a session. Rows later than the watermark are lost here; the round
+    engine of ``streaming.rounds`` takes them in.
+    """
     s = frames.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    s = s.groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n_frames"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))
+    s = s.groupBy(F.session_window(ts, f"{gap} 1 microsecond").alias("w"), *keys).agg(F.count("*").alias("n_frames"), F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"))
     return s.filter(F.col("n_frames") >= min_rows).drop("w")
 
 
