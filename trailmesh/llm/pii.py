@@ -3,11 +3,12 @@
 High-recall generators propose overlapping spans. Every candidate becomes a small
 vector of binned format and context features, so the exact training table, counts
 per feature vector over the whole corpus, has at most ``MAX_VECTORS`` rows whatever
-the input. Boosted depth-2 trees are fitted to it on the driver and applied as SQL expressions; the threshold of
-each kind is calibrated on the same counts. Weak labels are the validation rules of the
-formats; numbers and mail-like forms have none, so theirs are the values that occur
-validated elsewhere in the corpus, and cue words before the candidate. Redactions are all validated spans and
-all other candidates above the threshold of their kind.
+the input. Boosted depth-2 trees are fitted on the driver to the counts of one half of the texts and applied as SQL
+expressions; the threshold of each kind is calibrated on the other half, where candidates of equal score pass or fail together.
+Weak labels are the validation rules of the formats; numbers and mail-like forms have none, so
+theirs are the values that occur validated elsewhere in the corpus, and cue words before
+the candidate. Redactions are all validated spans and all other candidates above the
+threshold of their kind that do not lie within a validated base span.
 
 Defined cases: null text is empty and has no spans; without any candidate no tree is
 fitted; repeated rows get the same result each; an empty table gives an empty result.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmesh.llm.lineage import checkpointed
@@ -157,11 +159,15 @@ def calibrate(table: list, trees: list, precision: float) -> dict[int, float]:
     """For each kind the lowest score from which on at least ``precision`` of the weight is valid."""
     out = {}
     for rank in range(len(KINDS)):
-        rows = sorted(((sum(_value(t, x) for t in trees), w0, w1) for x, w0, w1 in table if x[0] == rank), reverse=True)
+        blocks: dict[float, list[float]] = {}
+        for x, w0, w1 in table:
+            if x[0] == rank:
+                block = blocks.setdefault(round(sum(_value(t, x) for t in trees), 9), [0.0, 0.0])
+                block[0], block[1] = block[0] + w0, block[1] + w1
         bad = good = 0.0
         out[rank] = math.inf
-        for s, w0, w1 in rows:
-            bad, good = bad + w0, good + w1
+        for s in sorted(blocks, reverse=True):
+            bad, good = bad + blocks[s][0], good + blocks[s][1]
             if good and good / (good + bad) >= precision:
                 out[rank] = s
     return out
@@ -171,10 +177,14 @@ def scan_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precis
     """One row per input row: doc_id and spans (start, rank, end, kind, score)."""
     rows = checkpointed(candidate_rows(docs, KINDS, doc_id, text, context=CONTEXT))
     found = checkpointed(candidates(rows))
-    counted = labelled(found).groupBy(*FEATURES).agg(F.sum((~F.col("label")).cast("int")).alias("w0"), F.sum(F.col("label").cast("int")).alias("w1"))
-    table = sorted((tuple(r[n] for n in FEATURES), float(r["w0"]), float(r["w1"])) for r in counted.collect())  # MAX_VECTORS rows at most
-    trees = fit_trees(table) if table else []
-    cuts = calibrate(table, trees, precision)
+    half = F.pmod(F.xxhash64("doc_id", "_key"), F.lit(2)).alias("half")
+    counted = labelled(found).groupBy(*FEATURES, half).agg(F.sum((~F.col("label")).cast("int")).alias("w0"), F.sum(F.col("label").cast("int")).alias("w1"))
+    table = sorted((r["half"], tuple(r[n] for n in FEATURES), float(r["w0"]), float(r["w1"])) for r in counted.collect())  # twice MAX_VECTORS rows at most
+    one, other = ([r[1:] for r in table if r[0] == h] for h in (0, 1))
+    trees = fit_trees(one or other) if table else []
+    # The half that was not fitted decides; the other one may only raise a threshold.
+    held, own = calibrate(other or one, trees, precision), calibrate(one or other, trees, precision)
+    cuts = {rank: max(held[rank], own[rank]) for rank in held}
     score = F.lit(0.0)
     for tree in trees:
         score = score + _column(tree)
@@ -183,6 +193,10 @@ def scan_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", precis
         if math.isfinite(cut):
             limit = F.when(F.col("rank") == rank, F.lit(cut)).otherwise(limit)
     picked = found.withColumn("score", score).filter(F.col("valid") | (F.col("score") >= limit - 1e-9))
+    # The furthest end of the validated base spans that begin no later.
+    so_far = W.partitionBy("doc_id", "_key").orderBy("start", F.desc("end"), F.desc("valid")).rowsBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("valid") & (F.col("rank") < N_BASE), F.col("end"))).over(so_far)
+    picked = picked.withColumn("reach", reach).filter(F.col("valid") | F.col("reach").isNull() | (F.col("reach") < F.col("end")))
     per_doc = picked.groupBy("doc_id", "_key").agg(
         F.collect_list(F.struct("start", "rank", "end", "kind", "valid", (1 / (1 + F.exp(-F.col("score")))).alias("score"))).alias("spans")
     )
