@@ -76,3 +76,9 @@ def test_equal_scores_pass_together():
     tree = [(1.0,)]
     table = [((0,) * len(pii.FEATURES), 0.0, 9.0), ((0, 1) + (0,) * (len(pii.FEATURES) - 2), 9.0, 0.0)]
     assert pii.calibrate(table, tree, 0.9)[0] == float("inf") and pii.calibrate(table[:1], tree, 0.9)[0] == 1.0
+
+
+def test_oracles_are_texts():
+    from trailmesh.llm import queries
+
+    assert all(isinstance(v, str) for v in queries.ORACLE_SQL.values()) and set(queries.ORACLE_SQL) <= set(queries.QUERIES) and all(map(callable, queries.QUERIES.values()))

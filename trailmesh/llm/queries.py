@@ -21,7 +21,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
-    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_lexical_search": lexical_search.OP12_SQL,
     "op13_substring_dedup": substring_dedup.OP13_SQL,
 }
