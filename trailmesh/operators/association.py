@@ -363,5 +363,7 @@ def associate_offline(tracklets: DataFrame, config: Config, site: str = "site")
             yield table()
 
     kinds, columns = dict(tracklets.dtypes), [site, "tid", "cam", "start", "end", "vec", *(["path"] if "path" in tracklets.columns else [])]
-    rows = tracklets.select(*columns).repartition(site).sortWithinPartitions(site, "end", "cam", "tid")
+    # The walk takes far longer than its few bytes suggest, so small partitions are not put together.
+    parts = int(tracklets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = tracklets.select(*columns).repartition(parts, site).sortWithinPartitions(site, "end", "cam", "tid")
     return rows.mapInPandas(run, f"{site} {kinds[site]}, tid {kinds['tid']}, gid bigint, cost double, reason string")

@@ -167,7 +167,9 @@ def associate_frames(frames: DataFrame, config: Config, first_ids: DataFrame | N
             out += [(site, *d) for d in engine.finish()]
             yield table()
 
-    return rows.repartition("site").sortWithinPartitions("site", "seq").mapInPandas(run, f"site {kinds['site']}, {DECISIONS}")
+    # The walk takes far longer than its few bytes suggest, so small partitions are not put together.
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "site").sortWithinPartitions("site", "seq").mapInPandas(run, f"site {kinds['site']}, {DECISIONS}")
 
 
 def next_ids(decisions: DataFrame) -> DataFrame:
