@@ -46,7 +46,7 @@ def pair_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct("cam", "start", "end")).alias("spans"), F.when(F.col("vec").isNull(), F.array().cast("array<array<double>>")).otherwise(F.array("vec")).alias("entries"),
     )
     starts = s.select("site", "tid", "cam", "start", "end", F.when(F.col("tid") % 7 > 0, F.col("x0")).alias("x"), F.col("y0").alias("y"), "vec")
-    out = pair_cost.pair_costs(starts, tracks, hop, weight=0.01, max_ground_m=5.0, max_speed_m_s=0.001, bucket_ms=3_600_000)
+    out = pair_cost.pair_costs(starts, tracks, hop, weight=0.01, max_ground_m=5.0, max_speed_m_s=0.001, bucket_ms=21_600_000)
     return out.select("tid", "gid", "elapsed", *[F.round(c, 6).alias(c) for c in ("distance", "similarity", "cost")])
 
 

@@ -46,16 +46,19 @@ def pair_costs(
     arrives = F.sequence(bucket(F.col("seen") + F.col("min_ms")), bucket(F.col("seen") + F.col("max_ms")))
     # A walk longer than a cell meets all cells of its time.
     k = k.select(
-        "site", "gid", "seen", "min_ms", "max_ms", "spans", "entries", F.col("dst").alias("cam"), F.col("x").alias("kx"), F.col("y").alias("ky"),
+        "site", "gid", "seen", "min_ms", "max_ms", F.col("dst").alias("cam"), F.col("x").alias("kx"), F.col("y").alias("ky"),
         F.explode(F.when(F.col("_wide"), F.array(F.lit("any"))).otherwise(around)).alias("_cell"), arrives.alias("_times"),
     ).withColumn("_time", F.explode("_times")).drop("_times")
     # A pair meets once: a track has either "any" or the other keys, and a tracklet has one of each.
-    t = tracklets.filter(F.col("vec").isNotNull()).select("site", "tid", "cam", "start", "end", "x", "y", "vec", bucket(F.col("start")).alias("_time"), F.explode(own).alias("_cell"))
+    t = tracklets.filter(F.col("vec").isNotNull()).select("site", "tid", "cam", "start", "end", "x", "y", bucket(F.col("start")).alias("_time"), F.explode(own).alias("_cell"))
     elapsed = F.col("start") - F.col("seen")
     pairs = t.join(k, ["site", "cam", "_time", "_cell"]).withColumn("elapsed", elapsed).filter(elapsed.between(F.col("min_ms"), F.col("max_ms")))
     busy = F.exists("spans", lambda s: (s["cam"] == F.col("cam")) & (s["start"] <= F.col("end")) & (s["end"] >= F.col("start")))
     away = F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky"))
-    pairs = pairs.filter(~busy).withColumn("distance", away).filter(F.col("distance").isNull() | (F.col("distance") <= max_ground_m + max_speed_m_s * F.abs("elapsed") / 1000.0))
+    pairs = pairs.withColumn("distance", away).filter(F.col("distance").isNull() | (F.col("distance") <= max_ground_m + max_speed_m_s * F.abs("elapsed") / 1000.0))
+    # Keys alone are dealt out; vectors and spans join the pairs that are left.
+    pairs = pairs.select("site", "tid", "gid", "cam", "start", "end", "elapsed", "distance")
+    pairs = pairs.join(tracks.select("site", "gid", "spans", "entries"), ["site", "gid"]).filter(~busy).join(tracklets.select("site", "tid", "vec"), ["site", "tid"])
     best = F.array_max(F.transform("entries", lambda v: V.dot(F.col("vec"), v)))
     pairs = pairs.withColumn("similarity", best)
     cost = 1.0 - F.col("similarity") + F.coalesce(weight * F.least(F.col("distance"), F.lit(max_ground_m)), F.lit(0.0))
