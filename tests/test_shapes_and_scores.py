@@ -230,3 +230,19 @@ def test_position_files(spark, tmp_path):
     (tmp_path / "00000005.json").write_text(json.dumps([{"personID": 7, "positionID": 456, "views": [view(0, 1, 2, 5, 9), view(1, -1, -1, -1, -1)]}]))
     got = annotations.read_positions(spark, str(tmp_path)).drop("file").collect()
     assert [tuple(r) for r in got] == [(5, 7, 456, 0, 1.0, 2.0, 4.0, 7.0)]
+
+
+def test_a_small_file_of_cameras_goes_to_all_tasks(spark):
+    h = [0.02, 0.0, -3.0, 0.0, 0.03, -9.0, 0.0, 0.0002, 1.0]
+    cams = spark.createDataFrame([(i, [x * (1 + i / 50) for x in h], 640, 480) for i in range(40)] + [(40, None, 640, 480)], "cam int, matrix array<double>, width int, height int").coalesce(1)
+    out = shapes.footprints(cams, metres_per_pixel=0.04, reach_m=6.0)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = {r.cam: r.cut for r in out.collect()}
+    assert found.pop(40) is None
+    for cam, cut in found.items():
+        m = np.array([x * (1 + cam / 50) for x in h]).reshape(3, 3)
+        at = lambda v, m=m: (m @ [320, v, 1])[:2] / (m @ [320, v, 1])[2]
+        rows = [480 - i * 2.4 for i in range(201)]
+        fine = [np.hypot(*(at(v) - at(v - 1))) <= 0.04 for v in rows]
+        last = (fine.index(False) if False in fine else 201) - 1
+        assert cut == (rows[last] if last >= 0 else None)

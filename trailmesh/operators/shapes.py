@@ -24,16 +24,21 @@ def footprints(cameras: DataFrame, matrix: str = "matrix", width: str = "width",
     rectangle below it is clipped to ``reach_m`` around the origin. A camera whose bottom row is behind it, or
     already too coarse, has a null cut and an empty polygon.
     """
+    # A camera is a few bytes and much work: a small file of them still goes to all tasks.
+    cameras = cameras.repartition(4 * cameras.sparkSession.sparkContext.defaultParallelism)
     h = [F.element_at(F.col(matrix), i) for i in range(1, 10)]
-    u, tall = F.col(width) / 2.0, F.col(height).cast("double")
-    step = F.greatest(F.lit(1.0), tall / ROWS)
-    at = lambda v: G.project(h, u, v)
-    scale = lambda v: F.hypot(at(v)["x"] - at(v - 1.0)["x"], at(v)["y"] - at(v - 1.0)["y"])
-    rows = F.sequence(F.lit(0), F.floor(tall / step).cast("int"))
-    coarse = F.filter(rows, lambda i: F.coalesce(scale(tall - i * step) > metres_per_pixel, F.lit(True)))
-    last = F.coalesce(F.array_min(coarse), F.size(rows)) - 1
-    in_front = h[6] * u + h[7] * tall + h[8] > 0
-    out = cameras.withColumn("cut", F.when(in_front & (last >= 0), tall - last * step))
+    tall = F.col(height).cast("double")
+
+    @F.pandas_udf("double")
+    def cut(matrices: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.Series:
+        out = np.full(len(matrices), np.nan)
+        known = np.flatnonzero(matrices.notna() & widths.notna() & heights.notna())
+        for at in np.array_split(known, -(-len(known) // 2000) or 1):
+            if len(at):
+                out[at] = cut_rows(np.array([list(m) for m in matrices.iloc[at]], float), widths.iloc[at].to_numpy(float), heights.iloc[at].to_numpy(float), metres_per_pixel)
+        return pd.Series(out, dtype=object).where(~np.isnan(out), None)
+
+    out = cameras.withColumn("cut", cut(F.col(matrix), F.col(width).cast("double"), tall))
     corners = [(F.lit(0.0), F.col("cut")), (F.col(width).cast("double"), F.col("cut")), (F.col(width).cast("double"), tall), (F.lit(0.0), tall)]
     empty = F.array().cast("array<struct<x:double,y:double>>")
     seen = F.filter(F.array(*[G.project(h, a, b) for a, b in corners]), lambda p: p.isNotNull())
@@ -43,6 +48,22 @@ def footprints(cameras: DataFrame, matrix: str = "matrix", width: str = "width",
     return out.withColumn("polygon", F.when(F.size("polygon") < 3, empty).otherwise(F.col("polygon")))
 
 
+def cut_rows(m: np.ndarray, width: np.ndarray, height: np.ndarray, metres_per_pixel: float) -> np.ndarray:
+    """The last row from the bottom up, before the first too coarse one, of many cameras; NaN for none."""
+    u, tall, step = width[:, None] / 2.0, height[:, None], np.maximum(1.0, height[:, None] / ROWS)
+    c = [m[:, k : k + 1] for k in range(9)]
+    i = np.arange(ROWS + 1)[None, :]
+    v = tall - i * step
+    with np.errstate(all="ignore"):
+        d0, d1 = c[6] * u + c[7] * v + c[8], c[6] * u + c[7] * (v - 1.0) + c[8]
+        x = (c[0] * u + c[1] * v + c[2]) / d0 - (c[0] * u + c[1] * (v - 1.0) + c[2]) / d1
+        y = (c[3] * u + c[4] * v + c[5]) / d0 - (c[3] * u + c[4] * (v - 1.0) + c[5]) / d1
+        fine = (np.hypot(x, y) <= metres_per_pixel) & (np.abs(d0) >= 1e-9) & (np.abs(d1) >= 1e-9) & (i <= np.floor(tall / step))
+    last = np.where(fine.all(1), ROWS + 1, np.argmin(fine, 1)) - 1
+    in_front = (c[6] * u + c[7] * tall + c[8])[:, 0] > 0
+    return np.where(in_front & (last >= 0), height - last * step[:, 0], np.nan)
+
+
 def clipped(polygon: Column, a: float, b: float, c: float) -> Column:
     """The part of a convex polygon (array of x, y) where a x + b y + c >= 0."""
     side = lambda p: a * p["x"] + b * p["y"] + c
