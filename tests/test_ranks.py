@@ -69,3 +69,16 @@ def test_handovers_equal_brute_force(spark):
             before = [(-min(e, s), -e, c, q) for k2, c, q, s2, e in rows if k2 == k and (s2 < s or same and s2 == s and c < cam)]
             want = min(before, default=None)
             assert got.get((k, cam, i)) == (want and (want[2], want[3], -want[1]))
+
+
+def test_overlap_counts_pair_nothing(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        a = rng.randrange(100)
+        rows.append((rng.choice("ab"), rng.randrange(4), i, a, a + rng.choice([0, 0, 3, 40])))
+    df = spark.createDataFrame(rows, "k string, o int, seq int, s int, e int").repartition(5)
+    got = {r.seq: r.n for r in temporal.overlap_counts(df, ["k"], "o", "s", "e", ["seq"]).collect()}
+    assert got == {i: sum(k == k2 and o != o2 and s <= e2 and s2 <= e for k2, o2, _, s2, e2 in rows) for k, o, i, s, e in rows}
+    plan = temporal.overlap_counts(df, ["k"], "o", "s", "e", ["seq"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan

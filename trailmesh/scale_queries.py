@@ -53,15 +53,13 @@ def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exclusion_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sessions(spark, sf_dir)
-    busy = temporal.overlapping(s.withColumn("gid", F.expr("lid % 50")), ["cam", "gid"], "start_us", "end_us", ["lid", "seq"], DAY_US).filter("lid <> other_lid")
-    return s.select("cam", "lid", "seq").join(busy, ["cam", "lid", "seq"], "left_anti")
+    s = _sessions(spark, sf_dir).withColumn("gid", F.expr("lid % 50"))
+    return temporal.overlap_counts(s, ["cam", "gid"], "lid", "start_us", "end_us", ["seq"]).filter("n = 0").select("cam", "lid", "seq")
 
 
 def clashing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sessions(spark, sf_dir).withColumn("gid", F.expr("lid % 40"))
-    met = temporal.overlapping(s, ["cam", "gid"], "start_us", "end_us", ["lid", "seq"], DAY_US).filter("lid <> other_lid")
-    return met.groupBy("cam", "gid", "seq", "lid").agg(F.count("*").alias("n"))
+    return temporal.overlap_counts(s, ["cam", "gid"], "lid", "start_us", "end_us", ["seq"]).filter("n > 0").select("cam", "gid", "seq", "lid", "n")
 
 
 def mot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
