@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmesh.operators import ranks, temporal
+from trailmesh.operators.spread import spread
 from trailmesh.plans import portable
 
 DAY_US = 86_400_000_000
@@ -62,6 +63,15 @@ def clashing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.overlap_counts(s, ["cam", "gid"], "lid", "start_us", "end_us", ["seq"]).filter("n > 0").select("cam", "gid", "seq", "lid", "n")
 
 
+def frame_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of frames of each track without a gap, repeated frames counted once; one shuffle."""
+    f = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("track"), F.col("l_orderkey").alias("frame"))
+    own = W.partitionBy("track").orderBy("frame")
+    step = F.coalesce(F.col("frame") - F.lag("frame").over(own), F.lit(2))
+    rows = spread(f, ["track"], f).withColumn("_step", step).filter("_step > 0").withColumn("_island", F.count_if(F.col("_step") > 1).over(own.rowsBetween(W.unboundedPreceding, 0)))
+    return rows.groupBy("track", "_island").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("*").alias("n")).drop("_island")
+
+
 def mot_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only distinct sources are ranked."""
     s = _sessions(spark, sf_dir)
@@ -122,7 +132,7 @@ def session_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        handovers, handover_tally, transit_stats, interval_lookup, exclusion_overlap, clashing_spans, mot_export, local_renumbering,
+        handovers, handover_tally, transit_stats, interval_lookup, exclusion_overlap, clashing_spans, frame_islands, mot_export, local_renumbering,
         percentile_linear, percentile_nearest, stats_bundle, latency_segments, latency_tail, target_verdict, session_pool,
     )
 }
