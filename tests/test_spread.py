@@ -22,3 +22,14 @@ def test_frame_islands_shuffle_once(spark, tmp_path):
     df = scale_queries.QUERIES["frame_islands"](spark, str(tmp_path))
     assert sorted(map(tuple, df.collect())) == [(1, 5, 6, 2), (1, 8, 8, 1), (2, 1, 3, 3)]
     assert exchanges(df) == 1
+
+
+def test_virtual_frames_are_not_dealt_by_camera(spark, tmp_path):
+    from trailmesh import shape_queries
+
+    rows = [(f, s, o, 1) for f in "AR" for s in "FO" for o in range(30)]
+    spark.createDataFrame(rows, "l_returnflag string, l_linestatus string, l_orderkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = shape_queries.virtual_frames(spark, str(tmp_path))
+    assert sorted((r.cam, r.virtual, r.n) for r in df.collect()) == sorted((c, i * 1000 + o + 1, 1) for i, c in enumerate(["AF", "AO", "RF", "RO"]) for o in range(30))
+    assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism

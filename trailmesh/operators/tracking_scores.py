@@ -82,7 +82,7 @@ def virtual_frames(rows: DataFrame, cam: str = "cam", frame: str = "frame") -> D
     longest = F.max("_last").over(W.partitionBy()) + 1
     block = F.when(longest < 1000, 1000.0).otherwise(F.pow(F.lit(10.0), F.floor(F.log10(longest.cast("double"))) + 1)).cast("bigint")
     at = cams.select(cam, block.alias("_block"), (F.row_number().over(W.orderBy(cam)) - 1).alias("_index"))
-    return rows.join(at, cam).withColumn("virtual", F.col("_index") * F.col("_block") + F.col(frame) + 1).drop("_block", "_index")
+    return rows.join(F.broadcast(at), cam).withColumn("virtual", F.col("_index") * F.col("_block") + F.col(frame) + 1).drop("_block", "_index")
 
 
 def identified(rows: DataFrame, spans: DataFrame) -> DataFrame:

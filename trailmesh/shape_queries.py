@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trailmesh import identity_queries as I
 from trailmesh.operators import separability, shapes, signals
 from trailmesh.operators import tracking_scores as T
+from trailmesh.operators.spread import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,7 @@ def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def virtual_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("cam"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").cast("bigint").alias("det"))
-    return T.virtual_frames(rows).groupBy("cam", "virtual").agg(F.count("*").alias("n"))
+    return spread(T.virtual_frames(rows), ["virtual"], rows).groupBy("cam", "virtual").agg(F.count("*").alias("n"))
 
 
 def rank_one(spark: SparkSession, sf_dir: str) -> DataFrame:
