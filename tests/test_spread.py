@@ -33,3 +33,12 @@ def test_virtual_frames_are_not_dealt_by_camera(spark, tmp_path):
     assert sorted((r.cam, r.virtual, r.n) for r in df.collect()) == sorted((c, i * 1000 + o + 1, 1) for i, c in enumerate(["AF", "AO", "RF", "RO"]) for o in range(30))
     assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString()
     assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_clock_fits_join_in_place(spark):
+    from trailmesh.operators import reports
+
+    s = spark.createDataFrame([(c, float(p), p * 1.5 + 7 + (p % 3)) for c in range(3) for p in range(40)], "cam int, p double, t double")
+    df = reports.clock_fits(s, ["cam"])
+    assert {(r.cam, r.n_samples, r.n_bins) for r in df.collect()} == {(c, 38, 8) for c in range(3)}
+    assert df.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.operators import ranks
 from trailmesh.operators.assign import match_groups
+from trailmesh.operators.spread import spread
 
 
 class LeakageError(ValueError):
@@ -104,16 +105,17 @@ def clock_fits(samples: DataFrame, keys: list[str], bin_s: float = 5.0, skip_s:
     A line through the lowest delay of each bin of file time; with few bins their least delay and no drift. The first
     seconds are left out where there is anything later. The jitter is the median height of samples over the line.
     """
+    # One shuffle by camera: what follows groups and joins in place.
+    samples = spread(samples.select(*keys, "t", "p"), keys, samples)
     late = samples.groupBy(*keys).agg(F.max(F.col("p") >= skip_s).alias("_late"))
-    s = samples.join(late, keys).filter(~F.col("_late") | (F.col("p") >= skip_s)).withColumn("d", F.col("t") - F.col("p"))
-    low = s.groupBy(*keys, F.floor(F.col("p") / bin_s).alias("_bin")).agg(F.min(F.struct("d", "p")).alias("m")).select(*keys, F.col("m.p").alias("p"), F.col("m.d").alias("d"))
-    fit = low.groupBy(*keys).agg(F.count("*").alias("n_bins"), F.regr_slope("d", "p").alias("_s"), F.avg("d").alias("_d"), F.avg("p").alias("_p"), F.min("d").alias("_least"))
+    s = samples.join(late.hint("merge"), keys).filter(~F.col("_late") | (F.col("p") >= skip_s)).withColumn("d", F.col("t") - F.col("p"))
+    low = s.groupBy(*keys, F.floor(F.col("p") / bin_s).alias("_bin")).agg(F.count("*").alias("_n"), F.min(F.struct("d", "p")).alias("m")).select(*keys, "_n", F.col("m.p").alias("p"), F.col("m.d").alias("d"))
+    fit = low.groupBy(*keys).agg(F.count("*").alias("n_bins"), F.sum("_n").alias("n_samples"), F.regr_slope("d", "p").alias("_s"), F.avg("d").alias("_d"), F.avg("p").alias("_p"), F.min("d").alias("_least"))
     line = F.col("n_bins") >= least_bins
     fit = fit.withColumn("drift", F.when(line, F.coalesce("_s", F.lit(0.0))).otherwise(0.0)).withColumn("offset_s", F.when(line, F.col("_d") - F.col("drift") * F.col("_p")).otherwise(F.col("_least")))
-    over = s.join(fit.select(*keys, "offset_s", "drift"), keys).withColumn("_j", 1000 * (F.col("d") - F.col("offset_s") - F.col("drift") * F.col("p")))
-    ranked = over.withColumns({"_r": F.row_number().over(W.partitionBy(*keys).orderBy("_j")), "_n": F.count("*").over(W.partitionBy(*keys))})
-    middle = ranked.filter(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col("_j").alias("jitter_ms"), F.col("_n").alias("n_samples"))
-    return fit.join(middle, keys).select(*keys, "offset_s", "drift", "jitter_ms", "n_samples", "n_bins")
+    over = s.join(fit.hint("merge"), keys).withColumn("jitter_ms", 1000 * (F.col("d") - F.col("offset_s") - F.col("drift") * F.col("p")))
+    middle = over.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("jitter_ms"))).filter(F.col("_r") == F.floor(F.col("n_samples") / 2) + 1)
+    return middle.select(*keys, "offset_s", "drift", "jitter_ms", "n_samples", "n_bins")
 
 
 def fit_exit_directions(handovers: DataFrame, velocities: DataFrame, min_speed: float, least: int) -> DataFrame:
