@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of many groups that a task solves at a time, and cells of their matrices.
+HELD, CELLS = 50_000, 2_000_000
+
+
 def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     """Row-column pairs of least total cost, by shortest augmenting paths; any shape."""
     cost = np.asarray(cost, float)
@@ -41,6 +45,54 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(owner[j]), j) for j in range(m) if owner[j] >= 0)
 
 
+def hungarians(cost: np.ndarray) -> np.ndarray:
+    """The same for many matrices of one shape (batch, n, m) at a time: the pairs of each as booleans."""
+    batch, n, m = cost.shape
+    if n > m:
+        return hungarians(cost.transpose(0, 2, 1)).transpose(0, 2, 1)
+    u, v, owner = np.zeros((batch, n + 1)), np.zeros((batch, m + 1)), np.full((batch, m + 1), -1)
+    for i in range(n):
+        owner[:, m] = i
+        at, least, via, done = np.full(batch, m), np.full((batch, m), np.inf), np.full((batch, m), m), np.zeros((batch, m + 1), bool)
+        open_ = np.arange(batch)
+        while len(open_):
+            j = at[open_]
+            done[open_, j] = True
+            row, seen = owner[open_, j], done[open_]
+            free = ~seen[:, :m]
+            slack = cost[open_, row] - u[open_, row][:, None] - v[open_, :m]
+            low = least[open_]
+            better = free & (slack < low)
+            low = np.where(better, slack, low)
+            via[open_] = np.where(better, j[:, None], via[open_])
+            nxt = np.argmin(np.where(free, low, np.inf), axis=1)
+            delta = low[np.arange(len(open_)), nxt]
+            k, c = np.nonzero(seen)
+            u[open_[k], owner[open_[k], c]] += delta[k]
+            v[open_] -= np.where(seen, delta[:, None], 0.0)
+            least[open_] = np.where(free, low - delta[:, None], low)
+            at[open_] = nxt
+            open_ = open_[owner[open_, nxt] >= 0]
+        back = np.arange(batch)
+        while len(back):
+            before = via[back, at[back]]
+            owner[back, at[back]] = owner[back, before]
+            at[back] = before
+            back = back[before != m]
+    out = np.zeros((batch, n, m), bool)
+    b, c = np.nonzero(owner[:, :m] >= 0)
+    out[b, owner[b, c], c] = True
+    return out
+
+
+def _codes(values: pd.Series, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's place among the sorted distinct ones of its group, and how many each group has."""
+    code = pd.factorize(values, sort=True, use_na_sentinel=False)[0].astype(np.int64)
+    every, own = np.unique(group * (code.max() + 1) + code, return_inverse=True)
+    n = np.bincount(every // (code.max() + 1), minlength=group[-1] + 1)
+    return own - (np.cumsum(n) - n)[group], n
+
+
 def match_groups(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float, gate_first: bool = False) -> DataFrame:
     """One-to-one matches of greatest total score in each group of candidate pairs.
 
@@ -49,32 +101,54 @@ def match_groups(pairs: DataFrame, keys: list[str], left: str, right: str, score
     """
     schema = ", ".join(f"{c} {t}" for c, t in pairs.select(*keys, left, right, score).dtypes)
 
+    def starts_of(pdf: pd.DataFrame) -> np.ndarray:
+        own, before = pdf[keys], pdf[keys].shift()
+        return np.flatnonzero(~((own == before) | (own.isna() & before.isna())).all(axis=1) | (np.arange(len(pdf)) == 0))
+
     def solved(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        good = np.zeros(len(pdf), bool)
-        lefts, rights, scores = pdf[left].to_numpy(), pdf[right].to_numpy(), pdf[score].to_numpy()
-        for a, b in zip(starts.tolist(), np.append(starts, len(pdf))[1:].tolist(), strict=True):
-            rows, cols = pd.factorize(lefts[a:b], sort=True), pd.factorize(rights[a:b], sort=True)
-            if len(rows[1]) == len(cols[1]) == b - a:  # nothing competes
-                good[a:b] = scores[a:b] >= least
+        size = np.diff(np.append(starts, len(pdf)))
+        if not len(pdf):
+            return pdf
+        group, scores = np.repeat(np.arange(len(starts)), size), pdf[score].to_numpy(float)
+        (rows, n), (cols, m) = _codes(pdf[left], group), _codes(pdf[right], group)
+        free = (n == size) & (m == size)  # nothing competes
+        good = free[group] & (scores >= least)
+        width = int(m.max()) + 1
+        shape = np.where(free, -1, n * width + m)
+        order = np.argsort(shape[group], kind="stable")
+        cuts = np.flatnonzero(np.diff(shape[group][order], prepend=-2))
+        for own in np.split(order, cuts[1:]):
+            height, across = divmod(int(shape[group[own[0]]]), width)
+            if shape[group[own[0]]] < 0:
                 continue
-            value = np.zeros((len(rows[1]), len(cols[1])))
-            value[rows[0], cols[0]] = scores[a:b] + gate_first
-            keep = {(r, c) for r, c in hungarian(-value) if value[r, c] - gate_first >= least}
-            good[a:b] = [(r, c) in keep for r, c in zip(rows[0], cols[0], strict=True)]
+            each = max(1, CELLS // (height * across))
+            place = np.cumsum(np.diff(group[own], prepend=group[own[0]]) != 0)
+            for some in np.split(own, np.searchsorted(place, np.arange(each, place[-1] + 1, each))):
+                b = np.cumsum(np.diff(group[some], prepend=group[some[0]]) != 0)
+                value = np.zeros((int(b[-1]) + 1, height, across))
+                value[b, rows[some], cols[some]] = scores[some] + gate_first
+                kept = hungarians(-value) & (value - gate_first >= least) if len(value) > 1 else np.zeros(value.shape, bool)
+                if len(value) == 1:
+                    for r, c in hungarian(-value[0]):
+                        kept[0, r, c] = value[0, r, c] - gate_first >= least
+                good[some] = kept[b, rows[some], cols[some]]
         return pdf[good]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, more = None, []
         for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
+            more.append(pdf)
+            if sum(map(len, more)) < HELD:
+                continue
+            pdf = pd.concat([*([] if held is None else [held]), *more], ignore_index=True)
+            more.clear()
             if len(pdf):
-                own, before = pdf[keys], pdf[keys].shift()
-                starts = np.flatnonzero(~((own == before) | (own.isna() & before.isna())).all(axis=1) | (np.arange(len(pdf)) == 0))
+                starts = starts_of(pdf)
                 yield solved(pdf.iloc[: starts[-1]], starts[:-1])
                 held = pdf.iloc[starts[-1] :]  # its group may go on
-        if held is not None:
-            yield solved(held, np.zeros(1, int))
+        if held is not None or more:
+            pdf = pd.concat([*([] if held is None else [held]), *more], ignore_index=True)
+            yield solved(pdf, starts_of(pdf))
 
     rows = pairs.select(*keys, left, right, score)
     rows = rows.filter(F.col(score) >= least) if gate_first else rows
