@@ -55,3 +55,16 @@ def test_many_matrices_are_assigned_like_one(spark):
         found = hungarians(cost)
         for k in range(50):
             assert sorted(zip(*map(list, np.nonzero(found[k])), strict=True)) == hungarian(cost[k])
+
+
+def test_measured_vectors_give_the_same_issues(spark):
+    from trailmesh.operators import validation
+
+    vectors = [[1.0, 0.0], [0.6, 0.8], [2.0, 0.0], [1.0, 0.0, 0.0], [], None]
+    rows = [(1, "cam", 640, 200, i + 1, 2, [(7, 1.0, 1.0, 5.0, 5.0, 0.5, v)]) for i, v in enumerate(vectors)]
+    kind = "local_track_id int, x double, y double, w double, h double, confidence double, embedding array<float>"
+    df = spark.createDataFrame(rows, f"schema_version int, cam_id string, frame_width int, frame_height int, ts_ms int, embed_dim int, detections array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
+    dim, norm = validation.vector_dim, validation.vector_norm
+    short = df.withColumn("detections", F.transform("detections", lambda d: d.withField("dim", dim(d["embedding"])).withField("norm", norm(d["embedding"])).dropFields("embedding")))
+    issues = lambda x: [r.issues for r in validation.frame_issues(x).orderBy("ts_ms").collect()]
+    assert issues(short) == issues(df) == [[], [], ["norm:7"], ["dimension:7"], ["dimension:7", "norm:7"], []]

@@ -12,12 +12,22 @@ VERSION = 1
 OVER, NORM = 0.02, 1e-2
 
 
+def vector_dim(v: Column) -> Column:
+    return F.when(v.isNotNull(), F.size(v))
+
+
+def vector_norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e.cast("double") * e))
+
+
 def frame_issues(frames: DataFrame, with_vectors: bool = True) -> DataFrame:
     """Add ``issues``: codes of all broken rules of frames(schema_version, cam_id, frame_width, frame_height, ts_ms, embed_dim, detections).
 
-    detections(local_track_id, x, y, w, h, confidence, embedding). Codes of a detection carry its track: ``duplicate:7``.
+    detections(local_track_id, x, y, w, h, confidence, embedding), or instead of the embedding its ``dim`` and ``norm``
+    (both null without one), so that no vector need travel to its frame. Codes of a detection carry its track: ``duplicate:7``.
     Frame codes come first, then those of the detections in order.
     """
+    measured = "norm" in frames.schema["detections"].dataType.elementType.names
     rule = lambda bad, code: F.when(F.coalesce(bad, F.lit(True)), F.lit(code))
     frame = [
         rule(F.col("schema_version") != VERSION, "version"),
@@ -36,9 +46,8 @@ def frame_issues(frames: DataFrame, with_vectors: bool = True) -> DataFrame:
             (F.coalesce(~d["confidence"].between(0.0, 1.0), F.lit(True)), "confidence"),
         ]
         if with_vectors:
-            v = d["embedding"]
-            norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e.cast("double") * e))
-            codes += [(v.isNotNull() & (F.col("embed_dim") > 0) & (F.size(v) != F.col("embed_dim")), "dimension"), (v.isNotNull() & ~F.coalesce(F.abs(norm - 1) <= NORM, F.lit(False)), "norm")]
+            dim, norm = (d["dim"], d["norm"]) if measured else (vector_dim(d["embedding"]), vector_norm(d["embedding"]))
+            codes += [(dim.isNotNull() & (F.col("embed_dim") > 0) & (dim != F.col("embed_dim")), "dimension"), (dim.isNotNull() & ~F.coalesce(F.abs(norm - 1) <= NORM, F.lit(False)), "norm")]
         tag = F.concat(F.lit(":"), d["local_track_id"].cast("string"))
         return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.concat(F.lit(code), tag)) for bad, code in codes]))
 
