@@ -3,9 +3,11 @@
 import random
 from itertools import product
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from trailmesh import queries
 from trailmesh.operators import ranks, temporal
 
 
@@ -82,3 +84,28 @@ def test_overlap_counts_pair_nothing(spark):
     assert got == {i: sum(k == k2 and o != o2 and s <= e2 and s2 <= e for k2, o2, _, s2, e2 in rows) for k, o, i, s, e in rows}
     plan = temporal.overlap_counts(df, ["k"], "o", "s", "e", ["seq"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_brackets_that_miss_their_quantile(spark, monkeypatch):
+    """Approximate quantiles only save work: values between, below or above them are found as well."""
+    real = F.percentile_approx
+    rows = spark.range(2000, numPartitions=6).selectExpr("id % 2 AS k", "id * 7919 % 2000 AS v")
+    for shift in (-900, 300, 5000):
+        monkeypatch.setattr(ranks.F, "percentile_approx", lambda c, b, n, shift=shift: F.transform(real(c, b, n), lambda x: x + shift))
+        got = {r.k: r for r in ranks.quantiles(rows, ["k"], "v", {"m": 0.5, "p": 0.9}).collect()}
+        assert {k: (r.n, r.m, round(r.p, 6)) for k, r in got.items()} == {k: (1000, 999.0 + k, round(float(np.quantile(range(k, 2000, 2), 0.9)), 6)) for k in (0, 1)}
+
+
+def test_transit_stats_of_unknown_users_and_times(spark, tmp_path):
+    rng = random.Random(5)
+    day = 86_400
+    rows = [(i, rng.choice([1, 2, 3, None]), rng.choice(["a", "b", "c", None]), rng.choice([None, *[rng.randrange(40) * day for _ in range(4)]]), 1.0) for i in range(400)]
+    text = ", ".join("(" + ", ".join("NULL" if c is None else repr(c) for c in r) + ")" for r in rows)
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT a AS event_id, b AS user_id, c AS event_type, to_timestamp(d)::TIMESTAMP AS ts, e AS value FROM (VALUES {text}) v(a, b, c, d, e)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    for name in ("transit_stats", "handovers"):
+        want, got = con.execute(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, str(tmp_path))
+        assert got.columns == list(want.columns)
+        plain = lambda rs: sorted(str([None if v is None or v != v else float(v) if not isinstance(v, str) else v for v in r]) for r in rs)
+        assert plain(map(tuple, got.collect())) == plain(want.itertuples(index=False))

@@ -45,7 +45,8 @@ def handover_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = temporal.handovers(_sessions(spark, sf_dir), "lid", "cam", "seq", "start_us", "end_us").filter("src <> dst").withColumn("gap", F.col("start_us") - F.col("end_us"))
     ends = h.groupBy("src", "dst").agg(F.min("gap").alias("min_us"), F.max("gap").alias("max_us"), F.count_if(F.col("gap") < 0).alias("n_negative"))
-    return ranks.quantiles(h, ["src", "dst"], "gap", {"median_us": 0.5}).withColumn("median_us", F.round("median_us", 3)).join(ends, ["src", "dst"])
+    middle = ranks.quantiles(h, ["src", "dst"], "gap", {"median_us": 0.5}).withColumn("median_us", F.round("median_us", 3))
+    return middle.join(ends, ["src", "dst"]).select("src", "dst", "n", "min_us", "max_us", "median_us", "n_negative")
 
 
 def interval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
