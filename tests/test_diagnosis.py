@@ -51,6 +51,31 @@ def test_fits_equal_the_plain_transform(spark):
     assert np.allclose([check.p50_m, check.p95_m, check.pair_p95_m], [np.median(e), np.percentile(e, 95), np.percentile(e, 95) * 2**0.5])
 
 
+def test_fits_write_no_point(spark, monkeypatch):
+    """Repeated points at the cut stay as often as they fit in; what is computed ahead has a row a camera, not a row a point."""
+    sizes, real = [], C.computed_once
+    for module in (C, C.ranks):
+        monkeypatch.setattr(module, "computed_once", lambda df: sizes.append((out := real(df)).count()) or out, raising=False)
+    rng = np.random.default_rng(9)
+    h = np.array([[0.02, -0.001, -3], [0.0005, 0.03, -9], [0.0001, 0.0002, 1]])
+    image = rng.uniform(0, 900, (60, 2))
+    world = projected(h, image) + rng.normal(scale=0.01, size=(60, 2))
+    rows = [("a", *p, *q) for p, q in zip(image.tolist(), world.tolist())] * 7
+    image, world = np.repeat(image, 7, 0), np.repeat(world, 7, 0)
+    keep, fit = np.arange(420), fit_homography(image, world)
+    for _ in range(2):
+        e = np.linalg.norm(projected(fit, image[keep]) - world[keep], axis=1)
+        keep = keep[np.argsort(e, kind="stable")[: round(len(keep) * 0.9)]]
+        fit = fit_homography(image[keep], world[keep])
+    e = np.linalg.norm(projected(fit, image[keep]) - world[keep], axis=1)
+    points = spark.createDataFrame(rows, "cam string, u double, v double, x double, y double").repartition(3)
+    r = C.fit_homographies(points).first()
+    assert (r.n_points, r.n_input) == (len(keep), 420) and len(keep) % 7
+    assert np.allclose(r.matrix, fit.ravel(), rtol=1e-4, atol=1e-7)
+    assert np.allclose([r.rmse_m, r.median_m, r.p95_m], [np.sqrt((e**2).mean()), np.median(e), np.percentile(e, 95)], rtol=1e-4)
+    assert sizes and max(sizes) == 1
+
+
 def test_correspondences(spark):
     boxes = spark.createDataFrame([("a", 10.0, 20.0, 30.0, 50.0, 481), ("a", 1.0, 20.0, 30.0, 50.0, 0), ("a", 10.0, 20.0, 30.0, 79.0, 0)], "cam string, x double, y double, w double, h double, position long")
     assert [tuple(r) for r in C.correspondences(boxes, 100, 100).collect()] == [("a", 25.0, 70.0, -2.975, -8.975)]

@@ -14,6 +14,8 @@ from trailmesh.operators import ranks
 from trailmesh.operators.lineage import computed_once
 
 LEAST_POINTS = 4
+#: Cameras with their matrices in a broadcast, at most (about 40 MB).
+CAMERAS = 200_000
 
 
 def correspondences(boxes: DataFrame, width: float, height: float, margin: float = 2.0, columns: int = 480, cell_m: float = 0.025, origin: tuple[float, float] = (-3.0, -9.0)) -> DataFrame:
@@ -27,32 +29,38 @@ def correspondences(boxes: DataFrame, width: float, height: float, margin: float
     return boxes.filter(whole).select("cam", (F.col("x") + F.col("w") / 2).alias("u"), bottom.alias("v"), place(0, F.col("position") % columns).alias("x"), place(1, F.floor(F.col("position") / columns)).alias("y"))
 
 
-def reprojection_error(matrix: str | Column, u: Column, v: Column, x: Column, y: Column) -> Column:
-    """Metres between the projected point and the true one; infinite where the projection vanishes."""
+def reprojection_error(matrix: str | Column | list[Column], u: Column, v: Column, x: Column, y: Column) -> Column:
+    """Metres between the projected point and the true one; infinite where the projection vanishes. The matrix is an array or nine columns."""
     m = F.col(matrix) if isinstance(matrix, str) else matrix
-    p = G.project([F.element_at(m, i) for i in range(1, 10)], u, v)
+    p = G.project(m if isinstance(m, list) else [F.element_at(m, i) for i in range(1, 10)], u, v)
     return F.coalesce(F.hypot(p["x"] - x, p["y"] - y), F.lit(float("inf")))
 
 
+def _by_camera(rows: DataFrame, cameras: DataFrame) -> DataFrame:
+    """rows with what is known of their cameras, a row each, computed before; few cameras are broadcast, so the rows stay where they are."""
+    return rows.join(F.broadcast(cameras) if cameras.count() <= CAMERAS else cameras, "cam")
+
+
 def _fit(points: DataFrame) -> DataFrame:
-    """cam, matrix from points(cam, u, v, x, y): the normalised direct linear transform, from sums over the points.
+    """cam, n, matrix from points(cam, u, v, x, y, _w): the normalised direct linear transform, from sums over the points.
 
-    Each camera's equations enter as 24 sums; only they, not the points, are one row.
+    Each camera's equations enter as 24 sums around its means; only they, not the points, are one row.
     """
-    mean = points.groupBy("cam").agg(*[F.avg(c).alias(f"m{c}") for c in "uvxy"])
-    p = points.join(mean, "cam")
-    off = {c: F.col(c) - F.col(f"m{c}") for c in "uvxy"}
-    scale = p.groupBy("cam").agg(*[F.max(f"m{c}").alias(f"m{c}") for c in "uvxy"], F.avg(F.hypot(off["u"], off["v"])).alias("duv"), F.avg(F.hypot(off["x"], off["y"])).alias("dxy"), F.count("*").alias("n"))
-    scale = scale.select("cam", "n", *[f"m{c}" for c in "uvxy"], *[F.when(F.col(d) > 1e-12, 2**0.5 / F.col(d)).otherwise(1.0).alias(s) for d, s in (("duv", "suv"), ("dxy", "sxy"))])
-    p = points.join(scale, "cam")
-    at = {c: (F.col(c) - F.col(f"m{c}")) * F.col("suv" if c in "uv" else "sxy") for c in "uvxy"}
+    weighed = lambda c: F.sum(F.col("_w") * c) / F.sum("_w")
+    mean = computed_once(points.groupBy("cam").agg(F.round(F.sum("_w")).cast("bigint").alias("n"), *[weighed(F.col(c)).alias(f"m{c}") for c in "uvxy"]))
+    at = {c: F.col(c) - F.col(f"m{c}") for c in "uvxy"}
     base = [at["u"], at["v"], F.lit(1.0)]
     pairs = [(i, j) for i in range(3) for j in range(i, 3)]
     weights = {"s": F.lit(1.0), "x": at["x"], "y": at["y"], "r": at["x"] * at["x"] + at["y"] * at["y"]}
-    sums = [F.sum(w * base[i] * base[j]).alias(f"{k}{i}{j}") for k, w in weights.items() for i, j in pairs]
-    names = tuple(weights)
-    rows = p.groupBy("cam").agg(*sums, *[F.max(c).alias(c) for c in ("n", "mu", "mv", "mx", "my", "suv", "sxy")])
+    sums = [F.sum(F.col("_w") * w * base[i] * base[j]).alias(f"{k}{i}{j}") for k, w in weights.items() for i, j in pairs]
+    spreads = [weighed(F.hypot(at[a], at[b])).alias(f"d{a}{b}") for a, b in ("uv", "xy")]
+    rows = _by_camera(points, mean).groupBy("cam").agg(*sums, *spreads, *[F.max(c).alias(c) for c in ("n", "mu", "mv", "mx", "my")])
+    # Points are scaled to a mean distance of the root of two; the sums, of products of so many of either side, are scaled for them.
+    rows = rows.withColumns({s: F.when(F.col(d) > 1e-12, 2**0.5 / F.col(d)).otherwise(1.0) for d, s in (("duv", "suv"), ("dxy", "sxy"))})
+    power = lambda k, i, j: F.pow("suv", F.lit((i < 2) + (j < 2))) * F.pow("sxy", F.lit({"s": 0, "x": 1, "y": 1, "r": 2}[k]))
+    rows = rows.withColumns({f"{k}{i}{j}": F.col(f"{k}{i}{j}") * power(k, i, j) for k in weights for i, j in pairs})
     kind = dict(points.dtypes)["cam"]
+    names = tuple(weights)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -70,9 +78,9 @@ def _fit(points: DataFrame) -> DataFrame:
                 h = np.linalg.inv(side(r["sxy"], r["mx"], r["my"])) @ h @ side(r["suv"], r["mu"], r["mv"])
                 good = r["n"] >= LEAST_POINTS and abs(h[2, 2]) >= 1e-9
                 found.append((h / h[2, 2]).ravel().tolist() if good else None)
-            yield pd.DataFrame({"cam": pdf["cam"], "matrix": found})
+            yield pd.DataFrame({"cam": pdf["cam"], "n": pdf["n"], "matrix": found})
 
-    return rows.mapInPandas(solve, f"cam {kind}, matrix array<double>")
+    return rows.mapInPandas(solve, f"cam {kind}, n bigint, matrix array<double>")
 
 
 def fit_homographies(points: DataFrame, trim: float = 0.1, rounds: int = 2) -> DataFrame:
@@ -80,25 +88,34 @@ def fit_homographies(points: DataFrame, trim: float = 0.1, rounds: int = 2) -> D
 
     After each fit the worst ``trim`` share of a camera's points goes, at least four stay, and it is fitted
     again. Cameras with fewer than four points, or points in one line, have a null matrix. Points of equal error go in any order.
+
+    No point is moved or written: which of them stay is known from each fit and the last point that stays after it.
+    The table of points is read some sixteen times.
     """
     if not 0 <= trim < 0.5:
         raise ValueError("trim is from 0 to below 0.5")
     points = points.select("cam", *[F.col(c).cast("double").alias(c) for c in "uvxy"]).filter("u IS NOT NULL AND v IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
-    points = computed_once(points)
-    sizes, kept = points.groupBy("cam").agg(F.count("*").alias("n_input")), points
-    fits = computed_once(_fit(kept))
-    error = reprojection_error("matrix", *[F.col(c) for c in "uvxy"])
+    kept, own = points.filter("cam IS NOT NULL").withColumn("_w", F.lit(1.0)), [F.col(c) for c in "uvxy"]
+    fits = first = computed_once(_fit(kept))
+    # Nine columns: code that looks each number up in an array is too long for the JVM to compile.
+    good = lambda: fits.filter("matrix IS NOT NULL").select("cam", *[F.element_at("matrix", i).alias(f"_m{i}") for i in range(1, 10)])
+    matrix = [F.col(f"_m{i}") for i in range(1, 10)]
     for _ in range(rounds if trim else 0):
-        rows = kept.join(fits, "cam").filter("matrix IS NOT NULL").withColumn("_e", error)
-        n = kept.groupBy("cam").agg(F.greatest(F.lit(LEAST_POINTS), F.bround(F.count("*") * (1.0 - trim), 0)).cast("bigint").alias("_n"))
-        ranked = ranks.numbered(rows.select("cam", *"uvxy", "_e"), ["cam"], "_e", list("uvxy"), "_place")
-        kept = computed_once(ranked.join(n, "cam").filter("_place <= _n").select("cam", *"uvxy"))
+        rows = _by_camera(kept, good()).withColumn("_e", F.when(F.col("_w").isNotNull(), reprojection_error(matrix, *own))).select("cam", *"uvxy", "_e", "_w")
+        most = F.greatest(F.lit(LEAST_POINTS), F.bround(F.col("n") * (1.0 - trim), 0)).cast("bigint")
+        cuts = computed_once(good().join(ranks.boundaries(rows, ["cam"], ["_e", *"uvxy"], "_w", 1.0 - trim, most), "cam"))
+        rows = _by_camera(kept, cuts).withColumn("_at", F.struct(reprojection_error(matrix, *own).alias("_e"), *own))
+        stays = F.when(F.col("_at") < F.col("last"), F.col("_w")).when(F.col("_at") == F.col("last"), F.col("_w") * F.col("part"))
+        # Points that went have no weight. A filter would compute every error once more.
+        kept = rows.withColumn("_w", stays).select("cam", *"uvxy", "_w")
         fits = computed_once(_fit(kept))
-    rows = kept.join(fits, "cam").filter("matrix IS NOT NULL").withColumn("_e", error)
-    whole = rows.filter(F.col("_e") < float("inf"))
-    marks = ranks.quantiles(whole, ["cam"], "_e", {"median_m": 0.5, "p95_m": 0.95}).drop("n")
-    sums = rows.groupBy("cam").agg(F.count("*").alias("n_points"), F.sqrt(F.avg(F.when(F.col("_e") < float("inf"), F.col("_e") * F.col("_e")))).alias("rmse_m"))
-    return sizes.join(fits, "cam", "left").join(sums, "cam", "left").join(marks, "cam", "left").select("cam", "matrix", F.coalesce("n_points", F.lit(0)).alias("n_points"), "n_input", "rmse_m", "median_m", "p95_m")
+    rows = _by_camera(kept, good()).select("cam", "_w", F.when(F.col("_w").isNotNull(), reprojection_error(matrix, *own)).alias("_e"))
+    rows = rows.select("cam", "_e", F.when(F.col("_e") < float("inf"), F.col("_w")).alias("_w")).withColumn("_e", F.when(F.col("_w").isNotNull(), F.col("_e")))
+    marks = ranks.quantiles(rows, ["cam"], "_e", {"median_m": 0.5, "p95_m": 0.95}, weight="_w").drop("n")
+    sums = rows.groupBy("cam").agg(F.sqrt(F.sum(F.col("_w") * F.col("_e") * F.col("_e")) / F.sum("_w")).alias("rmse_m"))
+    sizes = first.select("cam", F.col("n").alias("n_input"))
+    found = fits.select("cam", "matrix", F.when(F.col("matrix").isNotNull(), F.col("n")).alias("n_points"))
+    return sizes.join(found, "cam", "left").join(sums, "cam", "left").join(marks, "cam", "left").select("cam", "matrix", F.coalesce("n_points", F.lit(0)).alias("n_points"), "n_input", "rmse_m", "median_m", "p95_m")
 
 
 def projection_check(points: DataFrame, cameras: DataFrame) -> DataFrame:
