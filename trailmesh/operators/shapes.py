@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -84,17 +85,27 @@ def area(polygon: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2
 
 
-def keyframe_places(frames: np.ndarray, boxes: np.ndarray, min_iou: float) -> list[int]:
-    """Places to keep so that lines between them overlap every box (x1, y1, x2, y2) by at least ``min_iou``."""
-    keep, stack = {0, len(frames) - 1}, [(0, len(frames) - 1)]
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo < 2:
-            continue
-        t = ((frames[lo + 1 : hi] - frames[lo]) / (frames[hi] - frames[lo]))[:, None]
-        guess, true = boxes[lo] + (boxes[hi] - boxes[lo]) * t, boxes[lo + 1 : hi]
+#: Boxes that a task looks at together, about.
+HELD = 100_000
+
+
+def keyframe_mask(frames: np.ndarray, boxes: np.ndarray, starts: np.ndarray, ends: np.ndarray, min_iou: float) -> np.ndarray:
+    """Whether to keep each box (x1, y1, x2, y2) of many stretches, so that lines between kept ones overlap every box by at least ``min_iou``.
+
+    All stretches are halved at their worst boxes at the same time.
+    """
+    keep = np.zeros(len(frames), bool)
+    lo, hi = starts, ends - 1
+    keep[lo] = keep[hi] = True
+    size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    while len(lo := lo[(inner := hi - lo > 1)]):
+        hi = hi[inner]
+        n = hi - lo - 1
+        first, part = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+        at, a, b = np.arange(len(part)) - (first - lo - 1)[part], lo[part], hi[part]
+        t = ((frames[at] - frames[a]) / (frames[b] - frames[a]))[:, None]
+        guess, true = boxes[a] + (boxes[b] - boxes[a]) * t, boxes[at]
         sides = np.minimum(guess[:, 2:], true[:, 2:]) - np.maximum(guess[:, :2], true[:, :2])
-        size = lambda b: (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         both = np.where((sides > 0).all(1), sides.prod(1), 0.0)
         union = size(guess) + size(true) - both
         hull = (np.maximum(guess[:, 2:], true[:, 2:]) - np.minimum(guess[:, :2], true[:, :2])).prod(1)
@@ -102,40 +113,60 @@ def keyframe_places(frames: np.ndarray, boxes: np.ndarray, min_iou: float) -> li
         # Boxes apart all overlap by 0; the empty share of their hull still ranks them.
         rank = np.where((union > 0) & (hull > 0), over - (hull - union) / np.where(hull > 0, hull, 1.0), 0.0)
         rank = np.where((over < min_iou) & (rank < 1.0), rank, np.inf)
-        worst = int(np.argmin(rank))
-        if np.isfinite(rank[worst]):
-            at = lo + 1 + worst
-            keep.add(at)
-            stack += [(lo, at), (at, hi)]
-    return sorted(keep)
+        least = np.minimum.reduceat(rank, first)
+        hits = np.flatnonzero(rank == least[part])
+        worst = at[hits[np.unique(part[hits], return_index=True)[1]]]  # the first of equal ones
+        bad = np.isfinite(least)
+        cut = worst[bad]
+        keep[cut] = True
+        lo, hi = np.concatenate([lo[bad], cut]), np.concatenate([cut, hi[bad]])
+    return keep
+
+
+def keyframe_places(frames: np.ndarray, boxes: np.ndarray, min_iou: float) -> list[int]:
+    """Places to keep of one stretch."""
+    return np.flatnonzero(keyframe_mask(frames, boxes, np.array([0]), np.array([len(frames)]), min_iou)).tolist()
 
 
 def keyframes(boxes: DataFrame, keys: list[str], frame: str, step: int, stop_frame: int, min_iou: float, box: tuple[str, ...] = ("x1", "y1", "x2", "y2")) -> DataFrame:
     """Keyframes of each track (keys): keys, frame, box and ``outside``.
 
     A gap of more than ``step`` frames ends a stretch; after it, if the video goes on, its last box is
-    repeated as an outside key. A stretch is one array: one person in view without a gap.
+    repeated as an outside key. A task walks its sorted boxes and holds some stretches, at least one: one
+    person in view without a gap.
     """
     order = W.partitionBy(*keys).orderBy(frame)
-    cut = F.coalesce((F.col(frame) - F.lag(frame).over(order) > step).cast("int"), F.lit(0))
-    rows = boxes.select(*keys, frame, *box).withColumn("_cut", cut).withColumn("_stretch", F.sum("_cut").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    one = F.struct(F.col(frame).alias("f"), F.array(*[F.col(c).cast("double") for c in box]).alias("b"))
-    stretches = rows.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(one)).alias("_rows"))
+    new = F.lag(F.lit(True)).over(order).isNull() | F.coalesce(F.col(frame) - F.lag(frame).over(order) > step, F.lit(False))
+    rows = boxes.select(*keys, F.col(frame).cast("bigint").alias(frame), *[F.col(c).cast("double").alias(c) for c in box]).withColumn("_new", new)
     kinds = dict(boxes.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                own, steps = tuple(r[: len(keys)]), r[-1]
-                frames, bodies = np.array([s["f"] for s in steps], np.int64), np.array([s["b"] for s in steps], float).reshape(-1, 4)
-                out += [(*own, int(frames[i]), *bodies[i].tolist(), False) for i in keyframe_places(frames, bodies, min_iou)]
-                if frames[-1] + step <= stop_frame:
-                    out.append((*own, int(frames[-1]) + step, *bodies[-1].tolist(), True))
-            yield pd.DataFrame(out, columns=[*keys, frame, *box, "outside"])
+    def solved(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        frames, bodies = rows[frame].to_numpy(), np.stack([rows[c].to_numpy() for c in box], 1)
+        starts = np.flatnonzero(rows["_new"].to_numpy())
+        ends = np.append(starts[1:], len(frames))
+        kept = np.flatnonzero(keyframe_mask(frames, bodies, starts, ends, min_iou))
+        last = ends[frames[ends - 1] + step <= stop_frame] - 1
+        at, outside = np.concatenate([kept, last]), np.repeat([False, True], [len(kept), len(last)])
+        cols = [pa.array(frames[at] + step * outside), *[pa.array(bodies[at, i]) for i in range(4)], pa.array(outside)]
+        yield from pa.table([*[rows[k].take(pa.array(at)) for k in keys], *cols], [*keys, frame, *box, "outside"]).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            begun = np.flatnonzero(batch.column("_new").to_numpy(zero_copy_only=False))
+            if len(begun) and sum(b.num_rows for b in held) >= HELD:
+                ended = sum(b.num_rows for b in held[:-1]) + int(begun[-1])  # the last stretch may go on
+                rows = pa.Table.from_batches(held)
+                if ended:
+                    yield from solved(rows.slice(0, ended))
+                held = rows.slice(ended).to_batches()
+        if sum(b.num_rows for b in held):
+            yield from solved(pa.Table.from_batches(held))
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{frame} bigint", *[f"{c} double" for c in box], "outside boolean"])
-    return stretches.select(*keys, "_rows").mapInPandas(run, schema)
+    return rows.sortWithinPartitions(*keys, frame).mapInArrow(run, schema)
 
 
 def cleaned_tracks(boxes: DataFrame, track: str, frame: str, foot: str, min_frames: int, min_foot: float | None = None, keys: list[str] | None = None) -> DataFrame:

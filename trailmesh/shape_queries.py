@@ -37,7 +37,11 @@ def cleaned_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframes of every part's track over all its orders, in stretches without a gap over 2000."""
-    t = _tracks(spark, sf_dir).groupBy("track", "frame").agg(F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("foot").alias("foot"))
+    lines = _read(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_partkey").alias("track"), F.col("l_orderkey").alias("frame"), "l_quantity", "l_discount", "l_linenumber")
+    t = spread(rows, ["track"], lines).groupBy("track", "frame").agg(
+        F.max("l_quantity").alias("x1"), F.max(F.col("l_discount") * 1000).alias("y1"), F.max(F.col("l_linenumber") * 20).cast("double").alias("foot")
+    )
     boxes = t.select("track", "frame", "x1", "y1", (F.col("x1") + 60).alias("x2"), (F.col("y1") + 150 + F.col("foot")).alias("y2"))
     return shapes.keyframes(boxes, ["track"], "frame", 2000, 1 << 40, 0.6)
 
