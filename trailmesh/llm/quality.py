@@ -2,7 +2,7 @@
 
 P(grade > k) = sigmoid(w.x - theta_k): one weight vector over hashed word, gap and
 shape features of whole texts, shared by all ordered thresholds. The model is fitted
-on the driver on at most ``max_rows`` labelled documents (those with the smallest
+in one task on at most ``max_rows`` labelled documents (those with the smallest
 hashes of their ids); scoring is one Arrow pass without a shuffle.
 
 Grades come from ``labels``: 0 for low quality, 1 for toxic, 2 for all others; any
@@ -64,32 +64,6 @@ def grades_of(labels: DataFrame) -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
 
 
-def training_rows(docs: DataFrame, graded: DataFrame, max_rows: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(index, value, grade) of the labelled documents with the smallest id hashes, max_rows at most.
-
-    The arrays are views of one Arrow table, so the driver holds each feature once.
-    """
-    picked = graded.filter("_grade IS NOT NULL AND _lid IS NOT NULL").groupBy("_lid").agg(F.max("_grade").alias("_grade"))
-    picked = picked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in T.parts(whole, 1)):
-            rows = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())], ["grade", "index", "value"]
-            )
-
-    text = docs.join(F.broadcast(picked), docs["_id"].cast("string") == picked["_lid"].cast("string")).select(F.col("_grade").cast("int"), "_text")
-    table = text.mapInArrow(run, "grade int, index binary, value binary").toArrow()
-
-    def views(name: str, kind: str) -> list[np.ndarray]:
-        held = (x.as_buffer() for x in table.column(name))
-        return [np.frombuffer(b, kind) if b.size else np.zeros(0, kind) for b in held]
-
-    rows = zip(views("index", "<u2"), views("value", "<f4"), table.column("grade").to_pylist(), strict=True)
-    return sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes()))
-
-
 class CumulativeLink:
     """The fitted model: levels (sorted grades), weights and ordered thresholds."""
 
@@ -132,11 +106,39 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate:
     return CumulativeLink(levels, w, theta)
 
 
+def fitted(docs: DataFrame, graded: DataFrame, max_rows: int) -> CumulativeLink:
+    """The model of the labelled documents with the smallest id hashes, max_rows at most.
+
+    One task holds their features and fits; only the model travels to the driver.
+    """
+    picked = graded.filter("_grade IS NOT NULL AND _lid IS NOT NULL").groupBy("_lid").agg(F.max("_grade").alias("_grade"))
+    picked = picked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in T.parts(whole, 1)):
+            rows = features(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[0].astype("<u2").tobytes() for r in rows], pa.binary()), pa.array([r[1].astype("<f4").tobytes() for r in rows], pa.binary())], ["grade", "index", "value"]
+            )
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for batch in batches:
+            index, value = ([np.frombuffer(x.as_buffer(), kind) if x.as_buffer().size else np.zeros(0, kind) for x in batch.column(i)] for i, kind in ((1, "<u2"), (2, "<f4")))
+            rows += zip(index, value, batch.column(0).to_pylist(), strict=True)
+        model = fit(sorted(rows, key=lambda r: (r[2], len(r[0]), r[0].tobytes(), r[1].tobytes())))
+        parts = (pa.array([model.levels], pa.list_(pa.int32())), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.thetas.tobytes()], pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(parts), ["levels", "weights", "thetas"])
+
+    text = docs.join(F.broadcast(picked), docs["_id"].cast("string") == picked["_lid"].cast("string")).select(F.col("_grade").cast("int"), "_text")
+    found = text.mapInArrow(run, "grade int, index binary, value binary").repartition(1).mapInArrow(learn, "levels array<int>, weights binary, thetas binary").first()
+    return fit([]) if found is None else CumulativeLink(list(found.levels), np.frombuffer(found.weights), np.frombuffer(found.thetas))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS, grade: Column | None = None, at_least: int = 1, label_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, _key, expected_grade, p_at_least (tail probability), predicted grade."""
     graded = labels.select(F.col(label_id).alias("_lid"), (grades_of(labels) if grade is None else grade).cast("int").alias("_grade"))
-    rows = training_rows(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), graded, max_rows)
-    model = fit(rows)
+    model = fitted(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), graded, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast((model.levels, model.weights, model.thetas))
     kind = docs.schema[doc_id].dataType.simpleString()
 
