@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmesh.llm import np_text as T
-from trailmesh.llm.lineage import checkpointed, released, removed, written
+from trailmesh.llm.lineage import removed
+from trailmesh.llm.shuffles import stage_written
 
 LEAST, DEALT = 2, 400_000
-#: Batches are asked for and scored in so many rounds; the shuffle files of a round go before the next.
+#: Batches are asked for and scored in so many rounds; Spark removes the shuffle files of a round before the next.
 ROUNDS = 3
 MAX_WORDS, MAX_PAIRS = 1 << 20, 1 << 21
 BROADCAST_IDS = 2_000_000
@@ -148,7 +149,8 @@ def _arrays(kept: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fit_models(docs: DataFrame, weight: float = 0.7) -> tuple[MatchedModels, DataFrame, str]:
     """Models of docs(_target, _text) with the heads of their tables, at most MAX_WORDS + MAX_PAIRS rows, all other entries, and the path of their table."""
-    counts, path = written(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)))
+    counts = stage_written(ngram_counts(docs).filter((F.col("size") == 0) | (F.col("n") >= LEAST)), "counts")
+    path = counts.stage_path
     sums = {r["size"]: r for r in counts.groupBy("size").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect()}
     total, target = (int(sums[0]["n"]), int(sums[0]["t"])) if 0 in sums else (0, 0)
     size, known, marked = (int(sums[1]["rows"]), int(sums[1]["n"]), int(sums[1]["t"])) if 1 in sums else (0, 0, 0)
@@ -223,12 +225,9 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, doc_id: str = "doc_i
     def scored(some: DataFrame) -> DataFrame:
         asked = some.groupBy("deal").applyInArrow(ask, "deal int, size int, key bigint")
         found = asked.join(others, ["size", "key"]).select("deal", "size", "key", "n", "n_target")
-        return checkpointed(some.groupBy("deal").cogroup(found.groupBy("deal")).applyInArrow(answer, scores))
+        return stage_written(some.groupBy("deal").cogroup(found.groupBy("deal")).applyInArrow(answer, scores), "scores")
 
-    done = []
-    for r in range(ROUNDS):
-        released(docs.sparkSession)
-        done.append(scored(dealt.filter(F.col("deal") % ROUNDS == r)))
+    done = [scored(dealt.filter(F.col("deal") % ROUNDS == r)) for r in range(ROUNDS)]
     removed(docs.sparkSession, path)
     return reduce(DataFrame.unionByName, done)
 
