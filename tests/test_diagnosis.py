@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -123,6 +124,31 @@ def test_pair_geometry_equals_brute_force(spark):
     assert ceiling[False].n_pairs == 12 and abs(ceiling[True].feasible_allow - np.mean([r.feasible_allow for r in out if r.same])) < 1e-12
 
 
+def test_pairs_are_made_where_tracklets_lie(spark, monkeypatch):
+    """Neither pairs nor their points are shuffled, tasks grow with the tracklets, and one task sorts few of the drawn pairs."""
+    rng = random.Random(2)
+    tracks = [(i // 40, i, "ab"[i % 2], i // 4 % 10, s := rng.randint(0, 900), s + 40, [(t, rng.random(), rng.random()) for t in sorted(rng.sample(range(s, s + 40), 1 + i % 3))]) for i in range(200)]
+    df = spark.createDataFrame(tracks, "session int, tid int, cam string, person int, start long, end long, path array<struct<ts: long, x: double, y: double>>").cache()
+    sizes = []
+    monkeypatch.setattr(D, "TRACKLETS", 10)
+    monkeypatch.setattr(D, "computed_once", lambda d: sizes.append(d._jdf.queryExecution().optimizedPlan().toString()) or d)
+    pairs = D.sampled_pairs(df, 7, 3, ("start", "end", "path"))
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"xxhash64\(3, session[^)]*\) < -?\d", sizes[0])
+    out = D.geometry(pairs.filter("same"), 10, 0.3, 5.0)
+    assert plan(out).count("Exchange hashpartitioning") == 2 and out.rdd.getNumPartitions() == 20
+    points = df.select("tid", F.explode("path").alias("p")).select("tid", "p.*")
+    plain = D.pair_geometry(pairs.select("session", "a", "b", "same"), points, df, 10, 0.3, 5.0)
+    key = lambda r: (r.a, r.b)
+    assert sorted(D.geometry(pairs, 10, 0.3, 5.0).collect(), key=key) == sorted(plain.collect(), key=key)
+    every = [(a, b) for a in tracks for b in tracks if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]]
+    assert D._negatives(df) == sum(a[3] != b[3] for a, b in every)
+    draw = {(r.a, r.b): r.h for r in spark.createDataFrame([(a[0], a[1], b[1]) for a, b in every if a[3] != b[3]], "session int, a int, b int").withColumn("h", F.xxhash64(F.lit(3), "session", "a", "b")).collect()}
+    assert {(r.a, r.b) for r in pairs.filter("NOT same").collect()} == set(sorted(draw, key=draw.get)[:7])
+    few = D.sampled_pairs(df.filter("tid < 6"), 100, 3)
+    assert few.filter("NOT same").count() == sum(a[3] != b[3] for a, b in every if b[1] < 6)
+
+
 DET = "array<struct<local_track_id: bigint, x: double, y: double, w: double, h: double, confidence: double, embedding: array<float>>>"
 
 
