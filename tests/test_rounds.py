@@ -180,6 +180,42 @@ def test_common_distance_equals_brute_force():
             assert (got is None) == (not hits) and (not hits or abs(got - float(np.median(hits))) < 1e-9)
 
 
+class Plain(Associator):
+    """One tracklet by the matrices of many."""
+
+    def likenesses(self, t, tracks):
+        return self.similarities([t], tracks)[0].tolist()
+
+    def within(self, t, tracks, near):
+        return {j: float(c) for j, c in enumerate(self.costs([t], tracks)[0][0]) if c < self.config.max_cost}
+
+
+@pytest.mark.parametrize("more", [{}, {"similarity": "centroid"}, {"max_cost": 0.9, "same_camera": False}])
+def test_one_tracklet_is_decided_like_many(more):
+    for seed in range(4):
+        frames = [(c, t, d) for _, _, c, t, d in random_frames(seed)]
+        engines = [RoundEngine(Config(**RULES | more)) for _ in range(2)]
+        engines[1].associator = Plain(engines[1].config)
+        rows = [[r for f in [*frames, ("", None, [])] for r in e.feed(*f)] for e in engines]
+        assert rows[0] == rows[1] and {"first", "update", "close"} <= {r[1] for r in rows[0]}
+
+
+def test_one_tracklet_makes_no_matrices(monkeypatch):
+    """Most rounds have one new tracklet: no matrices for it, and only the identity it joined stacks its vectors anew."""
+    e = Associator(Config())
+    e.round([whole(1, "a", 0, 10, A), whole(2, "a", 5, 15, B)])
+    monkeypatch.setattr(Associator, "costs", lambda *_: pytest.fail("a matrix of costs for one tracklet"))
+    assert e.round([whole(3, "a", 20, 30, A)])[0].gid == 1
+    before = [k.vectors() for k in e.tracks]
+    assert e.round([whole(4, "b", 40, 50, B)])[0].gid == 2 and e.round([whole(5, "b", 60, 70, [0.0, 0.0, 1.0])])[0].is_new
+    now = [k.vectors() for k in e.tracks]
+    assert now[0] is before[0] and now[1] is not before[1] and all(np.array_equal(k.vectors(), [a.vec for a in k.appearances]) for k in e.tracks)
+    t = whole(6, "c", 80, 90, A)
+    assert t.query(8) is t.query(8)
+    t.add(95, 1.0, True, None, np.array(B), False, 8, 8)
+    assert not np.array_equal(t.query(8), A) and copy.deepcopy(t).asked is None and copy.deepcopy(e.tracks[0]).rows is None
+
+
 # --- rounds over frames
 
 

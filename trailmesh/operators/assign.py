@@ -22,6 +22,8 @@ def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
     if cost.shape[0] > cost.shape[1]:
         return sorted((r, c) for c, r in hungarian(cost.T))
     n, m = cost.shape
+    if n == 1:
+        return [(0, int(np.argmin(np.where(cost[0] < np.inf, cost[0], np.inf))))]
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.full(m + 1, -1)
     for i in range(n):
         owner[m], j = i, m

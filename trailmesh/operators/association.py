@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -164,7 +165,7 @@ class Associator:
             return Pair(np.inf, "no_vector")
         cost, measured, link = 1.0 - similarity, False, None
         own = tuple(sorted(t.path))
-        for term in (self._same_camera(own, t, k) if c.same_camera else None, self._ground(own, t, k)):
+        for term in (self._same_camera(own, t, k) if c.same_camera else None, self._ground(own, t, k) if c.overlaps else None):
             if term is None:
                 continue
             metres, far, evidence, over = term
@@ -216,11 +217,16 @@ class Associator:
         Ground distance only adds to a cost, so pairs too unlike for any limit are left infinite.
         """
         c = self.config
-        cost, limit = np.full((len(rows), len(tracks)), np.inf), np.full((len(rows), len(tracks)), c.max_cost)
+        cost, limit = np.empty((len(rows), len(tracks))), np.empty((len(rows), len(tracks)))
+        cost.fill(np.inf)
+        limit.fill(c.max_cost)
         near = self.similarities(rows, tracks)
         most = max(c.max_cost, c.max_cost_ground or 0.0)
+        alike: list[list[int]] = [[] for _ in rows]
+        for i, j in zip(*(a.tolist() for a in (1 - near < most).nonzero()), strict=True):
+            alike[i].append(j)
         for i, t in enumerate(rows):
-            found = {int(j): self.pair(t, tracks[j], float(near[i, j])) for j in np.flatnonzero(1 - near[i] < most)}
+            found = {j: self.pair(t, tracks[j], float(near[i, j])) for j in alike[i]}
             for j, p in found.items():
                 cost[i, j] = p.cost
             if c.max_cost_ground is None:
@@ -234,21 +240,41 @@ class Associator:
                     limit[i, j] = c.max_cost
         return cost, limit
 
+    def likenesses(self, t: Tracklet, tracks: list[Identity]) -> list[float]:
+        """The ``similarities`` of one tracklet."""
+        q = t.query(self.config.top_k)
+        if q is None or not tracks or self.config.similarity == "centroid" or not all(k.appearances for k in tracks):
+            return self.similarities([t], tracks)[0].tolist()
+        held = [k.vectors() for k in tracks]
+        starts = [0, *accumulate(map(len, held[:-1]))]
+        return np.maximum.reduceat((q[None] @ np.concatenate(held).T)[0], starts).tolist()
+
+    def within(self, t: Tracklet, tracks: list[Identity], near: list[float]) -> dict[int, float]:
+        """Costs of one tracklet under ``max_cost``, by place; the ``costs`` of configurations without a limit of its own for ground evidence."""
+        most, out = self.config.max_cost, {}
+        for j, s in enumerate(near):
+            if 1 - s < most and (cost := self.pair(t, tracks[j], s).cost) < most:
+                out[j] = cost
+        return out
+
     def feasible(self, t: Tracklet, tracks: list[Identity]) -> bool:
         """Whether the rules leave any identity, however unlike."""
-        near = self.similarities([t], tracks)[0]
-        return any(np.isfinite(self.pair(t, k, None if np.isnan(s) else float(s)).cost) for k, s in zip(tracks, near, strict=True))
+        return any(self.pair(t, k, None if s != s else s).cost < np.inf for k, s in zip(tracks, self.likenesses(t, tracks), strict=True))
 
     def similarities(self, rows: list[Tracklet], tracks: list[Identity]) -> np.ndarray:
         """Cosine of each tracklet to the best appearance, or the centroid, of each identity; NaN without a vector."""
-        out = np.full((len(rows), len(tracks)), np.nan)
         queries = [(i, q) for i, t in enumerate(rows) if (q := t.query(self.config.top_k)) is not None]
-        held = [[k.centroid] * (k.centroid is not None) if self.config.similarity == "centroid" else [a.vec for a in k.appearances] for k in tracks]
-        cols = [j for j, h in enumerate(held) if h]
+        central = self.config.similarity == "centroid"
+        cols = [j for j, k in enumerate(tracks) if (k.centroid is not None if central else k.appearances)]
         if queries and cols:
-            sizes = [len(held[j]) for j in cols]
-            product = np.stack([q for _, q in queries]) @ np.stack([v for j in cols for v in held[j]]).T
-            out[np.ix_([i for i, _ in queries], cols)] = np.maximum.reduceat(product, np.append(0, np.cumsum(sizes)[:-1]), axis=1)
+            held = [tracks[j].centroid[None] if central else tracks[j].vectors() for j in cols]
+            asked = np.array([q for _, q in queries])
+            near = np.maximum.reduceat(asked @ np.concatenate(held).T, [0, *accumulate(map(len, held[:-1]))], axis=1)
+            if near.shape == (len(rows), len(tracks)):
+                return near
+        out = np.full((len(rows), len(tracks)), np.nan)
+        if queries and cols:
+            out[np.ix_([i for i, _ in queries], cols)] = near
         return out
 
     def round(self, tracklets: Iterable[Tracklet | dict]) -> list[Decision]:
@@ -277,24 +303,30 @@ class Associator:
     def _matched(self, rows: list[Tracklet]) -> list[Decision]:
         """One camera's new tracklets: one to one with open identities, then the rest, in order of time, with those just made."""
         tracks = self.tracks
-        cost, limit = self.costs(rows, tracks)
-        most = self.config.max_cost if self.config.max_cost_ground is None else 1.0
-        share = cost if self.config.max_cost_ground is None else cost / limit  # of each pair's own limit
-        good = share < most
+        alone = len(rows) == 1 and self.config.max_cost_ground is None
         out: dict[int, Decision] = {}
-        for r, j in hungarian(np.where(good, share, 10 * most + 1)):
-            if good[r, j]:
-                self.gallery.absorb(tracks[j], rows[r])
-                out[r] = Decision(tracks[j].gid, float(cost[r, j]), "matched")
+        if alone:
+            paid = self.within(rows[0], tracks, self.likenesses(rows[0], tracks))
+            wanted, best = [bool(paid)], [(0, j, paid[j]) for j in ([min(paid, key=paid.get)] if paid else [])]
+        else:
+            cost, limit = self.costs(rows, tracks)
+            most = self.config.max_cost if self.config.max_cost_ground is None else 1.0
+            share = cost if self.config.max_cost_ground is None else cost / limit  # of each pair's own limit
+            good = share < most
+            wanted = good.any(axis=1).tolist()
+            best = [(r, j, float(cost[r, j])) for r, j in (hungarian(np.where(good, share, 10 * most + 1)) if any(wanted) else []) if good[r, j]]
+        for r, j, price in best:
+            self.gallery.absorb(tracks[j], rows[r])
+            out[r] = Decision(tracks[j].gid, price, "matched")
         made: list[Identity] = []
-        for r in sorted(set(range(len(rows))) - set(out), key=lambda r: (rows[r].start, rows[r].tid)):
-            nearest = self.costs([rows[r]], made)[0][0]
+        for r in sorted((r for r in range(len(rows)) if r not in out), key=lambda r: (rows[r].start, rows[r].tid)):
+            nearest = self.costs([rows[r]], made)[0][0] if made else None
             if made and nearest.min() < self.config.max_cost:
                 k = made[int(np.argmin(nearest))]
                 self.gallery.absorb(k, rows[r])
                 out[r] = Decision(k.gid, float(nearest.min()), "stitched")
                 continue
-            why = "empty" if not tracks else "taken" if good[r].any() else "threshold" if self.feasible(rows[r], tracks) else "no_candidate"
+            why = "empty" if not tracks else "taken" if wanted[r] else "threshold" if self.feasible(rows[r], tracks) else "no_candidate"
             made.append(self.gallery.create(rows[r]))
             out[r] = Decision(made[-1].gid, None, why, is_new=True)
         least = self.config.revise_after
@@ -308,10 +340,15 @@ class Associator:
         self.gallery.detach(owner, t)
         alone = not owner.members
         others = [k for k in self.tracks if not (alone and k is owner)]
-        cost, limit = self.costs([t], others)
-        share = cost[0] / limit[0]
-        if len(others) and share.min() < 1:
-            k, paid, new = others[int(np.argmin(share))], float(cost[0, int(np.argmin(share))]), False
+        if self.config.max_cost_ground is None:
+            prices = self.within(t, others, self.likenesses(t, others))
+            shares = {j: price / self.config.max_cost for j, price in prices.items()}
+        else:
+            cost, limit = self.costs([t], others)
+            prices, shares = cost[0].tolist(), {j: share for j, share in enumerate((cost[0] / limit[0]).tolist()) if share < 1}
+        if shares:
+            best = min(shares, key=shares.get)
+            k, paid, new = others[best], prices[best], False
             self.gallery.absorb(k, t)
             if alone:
                 self.gallery.drop(owner)
