@@ -72,7 +72,8 @@ class RoundEngine:
         if t is None:
             t = self.open[key] = Tracklet(self.next_tid, cam, key[1], ts, ts)
             self.next_tid += 1
-        point = None if pd.isna(d["x"]) or pd.isna(d["y"]) else (float(d["x"]), float(d["y"]))
+        x, y = d["x"], d["y"]
+        point = None if x is None or y is None or x != x or y != y else (float(x), float(y))
         vec = None if d["vec"] is None else np.asarray(d["vec"], float)
         t.add(ts, float(d["confidence"]), bool(d["clean"]), point, vec, bool(d["entry"]), c.max_vectors, c.max_points)
         t.updated = True
