@@ -109,3 +109,23 @@ def test_transit_stats_of_unknown_users_and_times(spark, tmp_path):
         assert got.columns == list(want.columns)
         plain = lambda rs: sorted(str([None if v is None or v != v else float(v) if not isinstance(v, str) else v for v in r]) for r in rs)
         assert plain(map(tuple, got.collect())) == plain(want.itertuples(index=False))
+
+
+def test_majority_vote_of_unknown_lines_and_halves_equals_the_oracle(spark, tmp_path):
+    unknown = [(None, 1, 5, 1), (None, 1, 5, 2), (8, 1, 6, 1), (9, 1, 6, 1), (7, 1, None, None), (3, 1, None, 4), (2, None, 4, 1)]
+    halves = [(i, part, 7 if i < n else 100 + i, 1) for part, n, of in ((2, 333, 640), (3, 323, 640), (4, 41, 640), (5, 3, 640)) for i in range(of)]
+    spark.createDataFrame(unknown + halves, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = set(con.sql(queries.ORACLE_SQL["majority_vote"]).fetchall())
+    df = queries.QUERIES["majority_vote"](spark, str(tmp_path))
+    assert df.columns == ["track", "person", "n", "purity"]
+    assert len(want) == 6 and set(map(tuple, df.collect())) == want
+
+
+def test_majority_vote_leaves_no_tie_open(spark, tmp_path):
+    rows = [(5, part, person, 1) for part in range(40) for person in (9, 3, None, 6)]
+    df = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int")
+    for k, parts in enumerate((1, 5)):
+        df.repartition(parts).write.parquet(f"{tmp_path}/{k}/lineitem.parquet")
+        assert {(r.person, r.n, r.purity) for r in queries.QUERIES["majority_vote"](spark, f"{tmp_path}/{k}").collect()} == {(3, 1, 0.25)}
