@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trailmesh.operators import separability, shapes, signals
 from trailmesh.operators import tracking_scores as T
+from trailmesh.operators.assign import hungarian
 from trailmesh.sources import annotations
 
 BOXES = "seq string, frame int, id int, x double, y double, w double, h double"
@@ -246,3 +247,51 @@ def test_a_small_file_of_cameras_goes_to_all_tasks(spark):
         fine = [np.hypot(*(at(v) - at(v - 1))) <= 0.04 for v in rows]
         last = (fine.index(False) if False in fine else 201) - 1
         assert cut == (rows[last] if last >= 0 else None)
+
+
+def test_hota_over_stretches_equals_brute_force(spark):
+    rng = random.Random(4)
+    frames = [("a", f) for f in (0, 1, 998, 999, 1000, 1001, 2500)] + [("b", f) for f in (-1, 0, 7)]
+    boxes = lambda ids: [box(s, f, i, rng.randint(0, 12), rng.randint(0, 3)) for s, f in frames for i in ids if rng.random() < 0.8]
+    truth, found = boxes((1, 2, 3)), boxes((11, 12, 13, 14))
+    n = lambda rows, s, i: sum(r[0] == s and r[2] == i for r in rows)
+    _, _, each = scores(spark, truth, found)
+    for s in "ab":
+        at, common = {}, {}
+        for f in {f for q, f in frames if q == s}:
+            g, p = ([r for r in rows if r[:2] == (s, f)] for rows in (truth, found))
+            m = np.array([[iou([a[3], a[4], a[3] + 10, a[4] + 10], [b[3], b[4], b[3] + 10, b[4] + 10]) for b in p] for a in g]).reshape(len(g), len(p))
+            at[f] = ([r[2] for r in g], [r[2] for r in p], m)
+            for i, j in zip(*np.nonzero(m), strict=True):
+                key = g[i][2], p[j][2]
+                common[key] = common.get(key, 0) + m[i, j] / (m[i].sum() + m[:, j].sum() - m[i, j])
+        align = lambda a, b: common[a, b] / (n(truth, s, a) + n(found, s, b) - common[a, b]) if (a, b) in common else 0.0  # noqa: B023, E731
+        hits = []
+        for g, p, m in at.values():
+            if m.size:
+                value = m * [[align(a, b) for b in p] for a in g]
+                hits += [(g[i], p[j], m[i, j]) for i, j in hungarian(-value) if value[i, j] > 0]
+        for a in T.ALPHAS:
+            kept = [(g, p) for g, p, v in hits if v >= a / 100 - 1e-9]
+            ass = sum(kept.count(k) / (n(truth, s, k[0]) + n(found, s, k[1]) - kept.count(k)) for k in kept) / max(len(kept), 1)
+            assert each[s, a / 100].tp == len(kept) and abs(each[s, a / 100].ass_a - ass) < 1e-9
+
+
+def test_boxes_of_unknown_place_are_counted_and_match_nothing(spark):
+    truth = [box("s", 0, 1), box("s", None, 1), box("s", 0, None, 50), box(None, 0, 1)]
+    found = [box("s", 0, 9), box("s", None, 9), box("s", 0, 8, 50), box(None, 0, 9), box(None, 1, 9)]
+    out = T.hota(spark.createDataFrame(truth, BOXES), spark.createDataFrame(found, BOXES)).filter("alpha = 0.5").collect()
+    assert sorted(((r.seq or ""), r.tp, r.fn, r.fp) for r in out) == [("", 0, 0, 2), ("", 0, 1, 0), ("s", 1, 2, 2)]
+    assert abs(next(r.ass_a for r in out if r.seq) - 1 / 3) < 1e-9  # 1 frame of 2 and 2
+
+
+def test_hota_shuffles_boxes_once_for_all_passes(spark, tmp_path):
+    from trailmesh import shape_queries
+
+    rows = [(o, i, float(i), 0.01 * i, 0.01) for o in range(400) for i in range(1, 6)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = shape_queries.hota_scores(spark, str(tmp_path))
+    assert len(df.collect()) == 2 * len(T.ALPHAS)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 2  # the lines of the truth and of the found
+    assert sum("REPARTITION_BY_NUM" in line and "Reused" not in line for line in plan.splitlines()) == 1

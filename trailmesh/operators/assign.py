@@ -95,13 +95,14 @@ def _codes(values: pd.Series, group: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own - (np.cumsum(n) - n)[group], n
 
 
-def match_groups(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float, gate_first: bool = False) -> DataFrame:
-    """One-to-one matches of greatest total score in each group of candidate pairs.
+def match_groups(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, least: float, gate_first: bool = False, carried: list[str] | None = None, laid: bool = False) -> DataFrame:
+    """One-to-one matches of greatest total score in each group of candidate pairs, with the columns ``carried``.
 
     The threshold is applied after the assignment, or before it with ``gate_first``
-    (which then puts the number of matches before their scores).
+    (which then puts the number of matches before their scores). ``laid``: the rows of a group lie in one partition already.
     """
-    schema = ", ".join(f"{c} {t}" for c, t in pairs.select(*keys, left, right, score).dtypes)
+    rows = pairs.select(*keys, left, right, score, *(carried or []))
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
 
     def starts_of(pdf: pd.DataFrame) -> np.ndarray:
         own, before = pdf[keys], pdf[keys].shift()
@@ -152,6 +153,5 @@ def match_groups(pairs: DataFrame, keys: list[str], left: str, right: str, score
             pdf = pd.concat([*([] if held is None else [held]), *more], ignore_index=True)
             yield solved(pdf, starts_of(pdf))
 
-    rows = pairs.select(*keys, left, right, score)
     rows = rows.filter(F.col(score) >= least) if gate_first else rows
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return (rows if laid else rows.repartition(*keys)).sortWithinPartitions(*keys).mapInPandas(run, schema)

@@ -6,16 +6,19 @@ of a frame, or of the identities of a sequence, is solved in tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trailmesh.functions import geometry as G
 from trailmesh.operators.assign import match_groups
+from trailmesh.operators.spread import ROWS, spread
 
 #: Localisation thresholds of the definition, in hundredths.
 ALPHAS = tuple(range(5, 100, 5))
 BOX = ("x", "y", "w", "h")
+#: Frames of a sequence that lie together.
+STRETCH = 1000
 
 
 def overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -25,34 +28,67 @@ def overlaps(truth: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(b, ["seq", "frame"]).withColumn("similarity", G.iou(box("gt"), box("pr"))).filter("similarity > 0").select("seq", "frame", "gt", "pr", "similarity")
 
 
-def _counts(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("seq", F.col("id").alias(name)).agg(F.count("*").alias(f"n_{name}"))
+def _laid(truth: DataFrame, found: DataFrame, counted: DataFrame | int | None) -> DataFrame:
+    """seq, stretch and the boxes (frame, id, x, y, w, h) of both sides, ``gt`` or ``pr``: the one shuffle of boxes, which lays a stretch of a sequence together."""
+    side = lambda rows, name: rows.select("seq", F.floor(F.col("frame") / STRETCH).alias("stretch"), F.struct("frame", "id", *[F.col(c).cast("double").alias(c) for c in BOX]).alias(name))
+    both = side(truth, "gt").unionByName(side(found, "pr"), allowMissingColumns=True)
+    return spread(both, ["seq", "stretch"], counted, ROWS // 4)  # a task sorts boxes of both sides with those around them
 
 
-def hota(truth: DataFrame, found: DataFrame) -> DataFrame:
-    """seq, alpha, tp, fn, fp, ass_a, det_a, hota.
+def _framed(laid: DataFrame) -> DataFrame:
+    """Boxes with their frame and all found boxes of it, ``prs``; in place."""
+    rows = laid.withColumn("frame", F.coalesce("gt.frame", "pr.frame"))
+    return rows.withColumn("prs", F.collect_list("pr").over(W.partitionBy("seq", "stretch", "frame"))).filter("gt IS NOT NULL").drop("pr")
 
-    Pairs are first aligned over the whole sequence: each frame shares a unit among what a box
-    overlaps. A frame's assignment maximises alignment times similarity; what is similar enough at a threshold is
-    a true positive there.
+
+def _similarity() -> Column:
+    return G.iou(*(tuple(F.col(side)[c] for c in BOX) for side in ("gt", "pr")))
+
+
+def _alignments(laid: DataFrame, framed: DataFrame) -> DataFrame:
+    """seq, stretch and ``known``: for each identity of the truth there its found ones with (alignment, size); the size is how many boxes both have.
+
+    Each frame shares a unit among what a box overlaps, summed over the whole sequence. Only sums of stretches are shuffled.
+    """
+    rows = framed.select("seq", "stretch", "frame", "gt", F.explode("prs").alias("pr"))
+    similarity = F.when(F.col("frame").isNotNull(), _similarity())
+    rows = rows.select("seq", "stretch", "frame", F.col("gt.id").alias("gt"), F.col("pr.id").alias("pr"), similarity.alias("similarity")).filter("similarity > 0")
+    total = lambda c: F.sum("similarity").over(W.partitionBy("seq", "stretch", "frame", c))
+    share = F.col("similarity") / (total("gt") + total("pr") - F.col("similarity"))
+    sums = rows.withColumn("share", share).groupBy("seq", "stretch", "gt", "pr").agg(F.sum("share").alias("share"))
+    boxes = laid.groupBy("seq", "stretch", F.col("gt.id").alias("gt"), F.col("pr.id").alias("pr")).agg(F.count("gt").alias("n_gt"), F.count("pr").alias("n_pr"))
+    each = sums.unionByName(boxes, allowMissingColumns=True).repartition("seq")
+    of = lambda n, *by: F.sum(n).over(W.partitionBy("seq", *by))
+    pairs = each.withColumns({"size": of("n_gt", "gt") + of("n_pr", "pr"), "common": of("share", "gt", "pr")}).filter("share IS NOT NULL AND gt IS NOT NULL AND pr IS NOT NULL")
+    value = F.struct((F.col("common") / (F.col("size") - F.col("common"))).alias("alignment"), "size")
+    to_map = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    maps = pairs.groupBy("seq", "stretch", "gt").agg(to_map("pr", value).alias("m")).groupBy("seq", "stretch").agg(F.max("seq").alias("s"), F.max("stretch").alias("t"), to_map("gt", "m").alias("known"))
+    # Keys that are sums themselves keep the join's filter of unknown keys above the shuffle of boxes, which all passes share as it is.
+    return maps.select(F.col("s").alias("seq"), F.col("t").alias("stretch"), "known")
+
+
+def hota(truth: DataFrame, found: DataFrame, counted: DataFrame | int | None = None) -> DataFrame:
+    """seq, alpha, tp, fn, fp, ass_a, det_a, hota. An identity has one box in a frame; ``counted`` is as in `spread`.
+
+    Pairs are first aligned over the whole sequence. A frame's assignment maximises alignment times similarity; what is similar enough at
+    a threshold is a true positive there. All passes read one shuffle of the boxes.
     """
-    pairs = overlaps(truth, found)
-    total = lambda c: F.sum("similarity").over(W.partitionBy("seq", "frame", c))
-    share = pairs.withColumn("share", F.col("similarity") / (total("gt") + total("pr") - F.col("similarity")))
-    sizes = lambda rows: rows.join(_counts(truth, "gt"), ["seq", "gt"]).join(_counts(found, "pr"), ["seq", "pr"])
-    aligned = sizes(share.groupBy("seq", "gt", "pr").agg(F.sum("share").alias("common")))
-    aligned = aligned.select("seq", "gt", "pr", (F.col("common") / (F.col("n_gt") + F.col("n_pr") - F.col("common"))).alias("alignment"))
-    scored = pairs.join(aligned, ["seq", "gt", "pr"]).withColumn("score", F.col("alignment") * F.col("similarity"))
-    matched = match_groups(scored, ["seq", "frame"], "gt", "pr", "score", 1e-12).select("seq", "frame", "gt", "pr")
-    hits = matched.join(pairs, ["seq", "frame", "gt", "pr"]).select("seq", "gt", "pr", "similarity")
+    laid = _laid(truth, found, counted)
+    framed = _framed(laid)
+    rows = framed.join(_alignments(laid, framed), ["seq", "stretch"], "left")
+    rows = rows.select("seq", "stretch", "frame", "gt", F.explode("prs").alias("pr"), F.try_element_at("known", F.col("gt.id")).alias("m"))
+    rows = rows.select("seq", "stretch", "frame", F.col("gt.id").alias("gt"), F.col("pr.id").alias("pr"), _similarity().alias("similarity"), F.try_element_at("m", F.col("pr.id")).alias("a"))
+    scored = rows.filter("similarity > 0 AND a IS NOT NULL").withColumns({"score": F.col("a.alignment") * F.col("similarity"), "size": F.col("a.size")})
+    hits = match_groups(scored, ["seq", "stretch", "frame"], "gt", "pr", "score", 1e-12, carried=["similarity", "size"], laid=True)
     # A pair's frames at each threshold, from one pass over the matches.
-    at = F.explode(F.filter(F.array(*[F.lit(a) for a in ALPHAS]), lambda a: F.col("similarity") >= a / 100.0 - 1e-9))
-    links = sizes(hits.withColumn("alpha", at).groupBy("seq", "alpha", "gt", "pr").agg(F.count("*").alias("n")))
-    kept = F.col("n") * F.col("n") / (F.col("n_gt") + F.col("n_pr") - F.col("n"))
-    per = links.groupBy("seq", "alpha").agg(F.sum("n").alias("tp"), F.sum(kept).alias("kept"))
-    both = truth.groupBy("seq").agg(F.count("*").alias("n_truth")).join(found.groupBy("seq").agg(F.count("*").alias("n_found")), "seq", "full").fillna(0, ["n_truth", "n_found"])
-    grid = both.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
-    out = grid.join(per, ["seq", "alpha"], "left").fillna(0, ["tp", "kept"])
+    enough = lambda a: F.count_if(F.col("similarity") >= a / 100.0 - 1e-9)
+    links = hits.groupBy("seq", "gt", "pr").agg(F.max("size").alias("size"), *[enough(a).alias(f"n{a}") for a in ALPHAS])
+    kept = lambda n: F.sum(n * n / (F.col("size") - n))
+    per = links.groupBy("seq").agg(*[of(F.col(f"n{a}")).alias(f"{name}{a}") for a in ALPHAS for of, name in ((F.sum, "tp"), (kept, "kept"))])
+    # An unknown sequence of the truth is not the unknown one of the found.
+    both = laid.groupBy("seq", F.when(F.col("seq").isNull(), F.col("gt").isNull())).agg(F.count("gt").alias("n_truth"), F.count("pr").alias("n_found"))
+    at = [F.struct(F.lit(a).alias("alpha"), F.col(f"tp{a}").alias("tp"), F.col(f"kept{a}").alias("kept")) for a in ALPHAS]
+    out = both.join(per, "seq", "left").select("seq", "n_truth", "n_found", F.inline(F.array(*at))).fillna(0, ["tp", "kept"])
     fn, fp = F.col("n_truth") - F.col("tp"), F.col("n_found") - F.col("tp")
     out = out.select("seq", (F.col("alpha") / 100.0).alias("alpha"), "tp", fn.alias("fn"), fp.alias("fp"), (F.col("kept") / F.greatest("tp", F.lit(1))).alias("ass_a"), (F.col("tp") / F.greatest(F.col("n_truth") + F.col("n_found") - F.col("tp"), F.lit(1))).alias("det_a"))
     return out.withColumn("hota", F.sqrt(F.col("ass_a") * F.col("det_a")))

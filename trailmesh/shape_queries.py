@@ -63,7 +63,7 @@ def _truth_and_found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def hota_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.hota(*_truth_and_found(spark, sf_dir)).select("seq", "alpha", "tp", "fn", "fp", *[F.round(c, 9).alias(c) for c in ("ass_a", "det_a", "hota")])
+    return T.hota(*_truth_and_found(spark, sf_dir), _read(spark, sf_dir, "lineitem")).select("seq", "alpha", "tp", "fn", "fp", *[F.round(c, 9).alias(c) for c in ("ass_a", "det_a", "hota")])
 
 
 def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
